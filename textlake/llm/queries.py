@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import decontaminate, lines, near, packing
-from textlake.llm._common import documents
+from textlake.llm import decontaminate, langid, licenses, lines, near, packing, passages, quality, shards, urls
+from textlake.llm._common import cut, documents
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", *licenses.RESULT)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -27,8 +35,26 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir)).select("doc_id", *near.RESULT)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir)).select("doc_id", *langid.RESULT)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = cut(documents(spark, sf_dir).select("doc_id", "lang", "source", quality.counts("text").alias("_counts")))
+    return quality.judge(counted, counted="_counts").select("doc_id", *quality.RESULT)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(documents(spark, sf_dir, "pages")).select("page_id", *urls.RESULT)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(documents(spark, sf_dir)).select("doc_id", *shards.RESULT)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_dedup, op4_packing, op5_decontamination, op6_near_dedup)}
+    every = (op1_substring_dedup, op2_line_dedup, op3_license_scan, op4_packing, op5_decontamination)
+    return {f.__name__: f for f in (*every, op6_near_dedup, op7_language_id, op8_quality_rules, op9_url_filter, op10_sharding)}
 
 
 #: ASCII lower case only, as everywhere here.
