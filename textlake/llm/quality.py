@@ -1,8 +1,8 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, for each language and source.
 
 Base rules come first: too few words, or too many words in repeated windows. Of the documents that pass them, a vector of
-statistics is taken: symbols, words without letters, repeated words (for each word), repeated lines (for each line), capital
-letters (for each letter) and the logarithm of the mean word length. Each is a ratio with a pseudo-count, which keeps short
+statistics is taken: symbols, words without letters, repeated words, words equal to the one before (for each word), repeated
+lines (for each line), capital letters (for each letter) and the logarithm of the mean word length. Each is a ratio with a pseudo-count, which keeps short
 texts near the usual value. For each (language, source) the centre and covariance come from concentration steps over all
 rows: a start at medians and median deviations, then, again and again, the moments of the ``share`` of rows that are
 nearest by Mahalanobis distance, as aggregates; no group is gathered, and rows meet their group's few numbers in a join
@@ -16,7 +16,6 @@ An empty table gives an empty result. Other columns stay; one named like a resul
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -27,16 +26,16 @@ from pyspark.sql import functions as F
 from textlake.llm._common import Words, chunks, cut, mixed, raw, rows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_letters", "n_capitals", "n_bare_words")
+MORE = ("n_lines", "n_letters", "n_capitals", "n_bare_words", "n_echoes")
 RESULT = (*COUNTS, "base_failed", "kept", "distance")
 #: Least standard deviations of the statistics, in the order of :func:`statistics`.
-FLOORS = (0.05, 0.03, 0.05, 0.1, 0.03, 0.05)
+FLOORS = (0.05, 0.03, 0.05, 0.1, 0.03, 0.05, 0.03)
 P = len(FLOORS)
-#: Squared distance beyond which a document is an outlier: the chi-squared distribution with six degrees of freedom leaves about 2e-12.
+#: Squared distance beyond which a document is an outlier: the chi-squared distribution with seven degrees of freedom leaves about 1e-11.
 CUTOFF = 66.0
 SHARE, STEPS, LEAST, SALTS = 0.75, 3, 200, 16
-#: Makes the covariance of the nearest 75 % of normal rows in six dimensions that of all.
-CONSISTENCY = 1.36
+#: Makes the covariance of the nearest 75 % of normal rows in seven dimensions that of all.
+CONSISTENCY = 1.325
 
 _SYMBOL = np.array([x in b"#*$%&|<>" for x in range(256)])
 _CAPITAL = np.array([65 <= x <= 90 for x in range(256)])
@@ -67,6 +66,9 @@ def repeated_words(hashes: np.ndarray, bounds: np.ndarray, width: int = 8) -> np
 def count(texts: list[bytes]) -> dict[str, np.ndarray]:
     """All counts of each text."""
     words = Words(texts)
+    hashes = words.hashes
+    echoes = np.concatenate([[0], np.cumsum(np.append(False, hashes[1:] == hashes[:-1])[: len(hashes)])])
+    begun = np.minimum(words.bounds[:-1] + 1, words.bounds[1:])  # a text's first word echoes nothing
     letter = _LETTER[words.data]
     bare = ~np.logical_or.reduceat(letter, words.starts) if len(words.starts) else np.empty(0, bool)
     bare = np.concatenate([[0], np.cumsum(bare)])
@@ -76,11 +78,12 @@ def count(texts: list[bytes]) -> dict[str, np.ndarray]:
         "word_chars": words.per_text(_POINT[words.data] & words.inside),
         "n_symbols": words.per_text(_SYMBOL[words.data]),
         "n_dup_lines": np.array([len(x) - len({*x}) for x in lines], np.int64),
-        "n_repeat_words": repeated_words(words.hashes, words.bounds),
+        "n_repeat_words": repeated_words(hashes, words.bounds),
         "n_lines": np.array([len(x) for x in lines], np.int64),
         "n_letters": words.per_text(letter),
         "n_capitals": words.per_text(_CAPITAL[words.data]),
         "n_bare_words": bare[words.bounds[1:]] - bare[words.bounds[:-1]],
+        "n_echoes": echoes[words.bounds[1:]] - echoes[begun],
     }
 
 
@@ -111,6 +114,7 @@ def statistics(c: Column) -> list[Column]:
         c["n_dup_lines"] / (c["n_lines"] + 5),
         c["n_capitals"] / (c["n_letters"] + 100),
         F.log((c["word_chars"] + 600) / (c["n_words"] + 100)),
+        c["n_echoes"] / words,
     ]
 
 
