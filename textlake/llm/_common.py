@@ -23,6 +23,11 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def others(df: DataFrame, result: tuple[str, ...]) -> list[str]:
+    """The columns that a result doesn't replace, whatever their case."""
+    return [c for c in df.columns if c.lower() not in result]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import ALNUM, LOWER, cut
+from textlake.llm._common import ALNUM, LOWER, cut, others
 
 RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -113,7 +113,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
     """The documents with n_words, n_hit, n_items, items_sha256 and contaminated."""
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast({"key": f"{id(context)}-{hashlib.sha256(repr(b).encode()).hexdigest()}", "block": b}) for b in blocks(benchmark, width, block_windows)]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     if len(shared) <= 1:
 
         @F.arrow_udf(STRUCT)

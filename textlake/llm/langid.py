@@ -27,7 +27,7 @@ from pandas import factorize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import LOWER, Words, chunks, raw, rows
+from textlake.llm._common import LOWER, Words, chunks, others, raw, rows
 
 RESULT = ("held_out", "lang_pred", "score")
 LONGEST_PIECE, PART = 16, 32
@@ -223,6 +223,6 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
             scores += y
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     return docs.select(*keep, held, found("text").alias("_made")).select(*keep, "held_out", "_made.*")

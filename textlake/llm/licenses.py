@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import ALNUM
+from textlake.llm._common import ALNUM, others
 
 RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -78,7 +78,8 @@ FAMILIES = (
     ("odbl-1", r"open (?:data commons open )?database license", "odbl 1 0"),
     ("odc-by-1", r"open data commons attribution license", "odc by 1 0"),
     ("pddl-1", r"public domain dedication and license", "pddl 1 0"),
-    ("cc0-1", r"(?:creative commons zero|cc0)(?: 1 0)?(?: universal)?", "cc0 1 0"),
+    ("cc0-1", r"creative commons zero(?: 1 0)?(?: universal)?", "cc0 1 0"),
+    ("cc0-1", r"cc0(?: 1 0)? universal", "cc0 1 0"),
     ("cc-by-nc-nd", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd 4 0"),
     ("cc-by-nc-sa", r"(?:creative commons )?attribution non ?commercial share ?alike", "cc by nc sa 4 0"),
     ("cc-by-nc", r"(?:creative commons )?attribution non ?commercial", "cc by nc 4 0"),
@@ -125,6 +126,8 @@ SIGNATURES = (
 
 @dataclass(frozen=True)
 class Rule:
+    """keyword: what any match's line holds."""
+
     label: str
     keyword: bytes
     found: re.Pattern
@@ -134,7 +137,7 @@ class Rule:
 
 def _keyword(expression: str) -> bytes:
     """The longest plain word outside of brackets."""
-    while (inner := re.sub(r"\([^()]*\)[?]?(?:\{[^}]*\})?", "|", expression)) != expression:
+    while (inner := re.sub(r"\([^()]*\)[?]?(?:\{[^}]*\})?", "| ", expression)) != expression:
         expression = inner
     return max(re.findall(r"(?<![a-z0-9\\\[|])[a-z0-9]+(?![a-z0-9?\]|\[])", expression) or [""], key=len).encode()
 
@@ -145,6 +148,7 @@ def rules() -> tuple[Rule, ...]:
     out = []
 
     def add(label: str, keyword: bytes, expression: str, weight: float, priority: int) -> None:
+        keyword = b" %s " % keyword if len(keyword) < 4 else keyword  # short words only as a whole
         out.append(Rule(label, keyword, re.compile(rf"(?<= ){expression}(?= )".encode()), weight, priority))
 
     for label, name, identifier in FAMILIES:
@@ -211,5 +215,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         made = [scan(x or b"") for x in text.cast(pa.binary()).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([x[i] for x in made], kind) for i, kind in enumerate(KINDS)], list(RESULT))
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     return docs.select(*keep, found("text").alias("_made")).select(*keep, "_made.*")

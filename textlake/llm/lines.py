@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.llm._common import LOWER, chunks, cut, raw, rows
+from textlake.llm._common import LOWER, chunks, cut, others, raw, rows
 
 BLANK = b" \t\n\r\x0b\x0c"
 PLAIN, REPEATS, SURE = 0, 1, 2
@@ -135,4 +135,4 @@ def drop_repeated_lines(docs: DataFrame, least_points: int = 20, least_docs: int
     lost = lost_keys(docs, least_points, least_docs).withColumnRenamed("doc_id", "lost_id")
     made = whole.join(lost, F.col("whole.doc_id").cast("long").eqNullSafe(F.col("lost_id")), "left").select("whole", kept("whole.text", "lost").alias("made"))
     result = ("n_lines", "n_dropped")
-    return made.select(*(F.col("made.text") if c == "text" else F.col(f"whole.`{c}`") for c in docs.columns if c not in result), *(F.col(f"made.{c}") for c in result))
+    return made.select(*(F.col("made.text") if c == "text" else F.col(f"whole.`{c}`") for c in others(docs, result)), *(F.col(f"made.{c}") for c in result))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm._common import LOWER, WordHashes, chunks, components, cut, lists, raw, rows, shingles
+from textlake.llm._common import LOWER, WordHashes, chunks, components, cut, lists, others, raw, rows, shingles
 
 K, LISTED = 32, 32
 RESULT = ("n_shingles", "component_id", "kept")
@@ -140,6 +140,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     found = signed.where("doc_id is not null").select("doc_id", "digest", "n").distinct().join(of_class, "digest", "left")
     found = found.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id"))
     result = found.select(F.col("doc_id").alias("_id"), "n_shingles", "component_id")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
+    keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     both = docs.select(*keep).join(result, F.col("doc_id").cast("long") == F.col("_id"), "left")
     return both.select(*keep, F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import Words, chunks, cut, mixed, raw, rows
+from textlake.llm._common import Words, chunks, cut, mixed, others, raw, rows
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_letters", "n_capitals", "n_bare_words", "n_echoes")
@@ -197,7 +197,7 @@ def judge(docs: DataFrame, least: int = LEAST, cutoff: float = CUTOFF, counted:
     table = cut(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     table = table.select(F.struct("lang", "source", "salt").alias("_group"), "centre", "inverse")
 
-    keep = [F.col(f"whole.`{c}`") for c in docs.columns if c not in RESULT]
+    keep = [F.col(f"whole.`{c}`") for c in others(docs, RESULT)]
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), named("lang").alias("lang"), named("source").alias("source"), own.alias("c"))
     whole = whole.withColumn("x", F.array(*statistics(F.col("c")))).withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
     both = whole.join(table, F.struct("lang", "source", "salt") == F.col("_group"), "left").withColumn("distance", _distance())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm._common import cut
+from textlake.llm._common import cut, others
 
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 FINE, BUNDLES, PARTS = 64, 8192, 64
@@ -43,8 +43,9 @@ def shard(docs: DataFrame, n_shards: int = 40, fine: int = FINE, bundles: int =
     """The documents with size, text_crc32, law, shard (0 to n_shards - 1), slot (gapless in its shard) and grown_shard."""
     spark = docs.sparkSession
     text = _text()
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]
-    sized = docs.select(*keep, F.struct(F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64("doc_id").alias("mix")).alias("_own"))
+    keep = others(docs, RESULT)
+    own_names = [f"_{i}" for i in range(len(keep))]  # so that no column's name clashes with those in use here
+    sized = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, own_names, strict=True)), F.struct(F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64("doc_id").alias("mix")).alias("_own"))
     rows = sized.select("_own.*")
     groups = cut(rows.groupBy("g1", "g2").agg(F.sum("size").alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
@@ -57,14 +58,14 @@ def shard(docs: DataFrame, n_shards: int = 40, fine: int = FINE, bundles: int =
     by_bundle = spark.createDataFrame([(k[0], s) for k, s in placed.items() if len(k) == 1], "k long, bundle_shard int")
     own = sized.join(F.broadcast(by_group), (F.col("_own.g1") == F.col("l1")) & (F.col("_own.g2") == F.col("l2")), "left")
     own = own.join(F.broadcast(by_bundle), F.pmod(F.col("_own.g1"), F.lit(bundles)) == F.col("k"), "left")
-    own = own.select(*keep, "_own", F.coalesce("large_shard", "bundle_shard").alias("_shard"), F.pmod("_own.mix", F.lit(parts)).alias("_part"))
+    own = own.select(*own_names, "_own", F.coalesce("large_shard", "bundle_shard").alias("_shard"), F.pmod("_own.mix", F.lit(parts)).alias("_part"))
     held = own.groupBy("_shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = held.select(F.col("_shard").alias("s"), F.col("_part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     number = F.row_number().over(Window.partitionBy("_shard", "_part").orderBy("_own.mix", "_own.crc", "_own.g1"))
     own = own.withColumn("_number", number).join(F.broadcast(first), (F.col("_shard") == F.col("s")) & (F.col("_part") == F.col("p")))  # n_shards * parts rows
     return own.select(
-        *keep,
+        *(F.col(x).alias(c) for c, x in zip(keep, own_names, strict=True)),
         F.col("_own.size").alias("size"),
         F.col("_own.crc").alias("text_crc32"),
         F.lit("bytes").alias("law"),

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm._common import others
+
 RESULT = ("host", "path", "rule", "verdict", "score")
 BLOCK, ALLOW = "block", "allow"
 RULES = ((BLOCK, "net/"), (ALLOW, "example.net/en/"), (BLOCK, "example.com/de/"), (ALLOW, "org/fr/"))
@@ -107,7 +109,7 @@ def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules
             out.append(1 / (1 + np.exp(-(w[own].sum() / np.sqrt(len(own)) + w[-1]))) if own else 0.0)
         return pa.array(out, pa.float64())
 
-    keep = [F.col(f"`{c}`") for c in pages.columns if c not in RESULT]
+    keep = [F.col(f"`{c}`") for c in others(pages, RESULT)]
     url = F.coalesce(F.col("url"), F.lit(""))
     made = pages.select(*keep, F.struct(host(url).alias("host"), path(url).alias("path")).alias("_own"))
     name, verdict = rule(F.col("_own.host"), F.col("_own.path"), rules)
