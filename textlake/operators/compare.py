@@ -36,14 +36,14 @@ def top_three(c: Column) -> Column:
 
 
 def listed(c: Column, sign: str) -> Column:
-    return F.array_join(F.transform(top_three(c), lambda x: F.concat(x["name"], F.lit(f" ({sign}"), F.format_number(x["pct"], "0.0"), F.lit("%)"))), ", ")
+    return F.array_join(F.transform(top_three(c), lambda x: F.concat(x["name"], F.lit(f" ({sign}"), F.format_string("%.1f", x["pct"]), F.lit("%)"))), ", ")
 
 
 def compare(pairs: DataFrame) -> DataFrame:
     """improvements and degradations (maps), overall_improvement, success and a summary of each pair."""
     rows = pairs.withColumn("better", changes(True)).withColumn("worse", changes(False))
     gain = F.col("after.human_score") - F.col("before.human_score")
-    shown = F.format_number(gain, "0.0")
+    shown = F.format_string("%.1f", gain)
     opening = F.when(gain > LEAST_GAIN, F.concat(F.lit("✅ Humanization successful! Overall human score improved by "), shown, F.lit(" points.")))
     opening = opening.otherwise(F.concat(F.lit("⚠️ Humanization had limited impact. Overall change: "), shown, F.lit(" points.")))
     moved = F.col("before.likely_source") != F.col("after.likely_source")
