@@ -7,7 +7,7 @@ import json
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +100,12 @@ def docx(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                own = paragraphs_of_docx(bytes(content))
-                yield pd.DataFrame({"file": [name] * len(own), "paragraph": range(len(own)), "text": own})
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                own = paragraphs_of_docx(content)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.string())], ["file", "paragraph", "text"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path)
-    return found.select("path", "content").mapInPandas(run, "file string, paragraph long, text string")
+    return found.select("path", "content").mapInArrow(run, "file string, paragraph long, text string")
 
 
 def write_chunks(df: DataFrame, path: str, rows_per_file: int = 100_000, by: str | None = "label") -> None:
