@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, made) -> Column:
+    """made(value), with the value computed once though other lambdas inside use it for each of their elements."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def collapse(c: Column | str) -> Column:
     """White space runs as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(col(c), f"{P.WS}+", " "))

@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.functions.text import col, sentences, words
+from textlake.functions.text import col, let, sentences, words
 
 
 def word_chunks(c: Column | str, n: int) -> Column:
     """Chunks of n words; the last may be shorter."""
-    own = words(c)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)), F.lit(n))
-    return F.filter(F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, F.lit(n)), " ")), lambda x: x != "")
+
+    def cut(own: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)), F.lit(n))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, F.lit(n)), " "))
+
+    return F.filter(let(words(c), cut), lambda x: x != "")
 
 
 def explode_chunks(df: DataFrame, text: str, n: int, least_chars: int = 0) -> DataFrame:

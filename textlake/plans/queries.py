@@ -246,8 +246,8 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").where(X.n_words("text") >= 6).select("item_id", F.col("text").alias("item"))
     items = items.withColumn("a", F.xxhash64(F.array_join(F.slice(X.words("item"), 2, 4), " ")))
     own = docs(spark, sf_dir).select("doc_id", "text")
-    w = X.words("text")
-    spots = own.withColumn("w", w).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(4)), " "))))).alias("a"))
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(4)), " ")))
+    spots = own.select("doc_id", F.explode(F.array_distinct(X.let(X.words("text"), hashes))).alias("a"))
     found = spots.join(items.select("item_id", "a"), "a").select("doc_id", "item_id").distinct()
     checked = found.join(items, "item_id").join(own, "doc_id").where(F.contains("text", "item"))
     return checked.select("doc_id", "item_id").distinct()

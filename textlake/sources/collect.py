@@ -8,20 +8,20 @@ of the sources before it: a loop over plans, not over rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textlake.functions import text as X
 from textlake.functions.validity import accepted
-from textlake.operators.dedup import first_wins
+from textlake.operators.lineage import cut
 
 
 @dataclass(frozen=True)
 class Source:
-    """name; the table; texts: an array of (text, label) for each row; the order of rows; bounds; a cap on accepted rows."""
+    """name; the table; texts: an array of (text, label) for each row; the order of rows, a column of whole numbers; bounds; a cap on accepted rows."""
 
     name: str
     table: Callable[[], DataFrame]
@@ -39,7 +39,6 @@ class Options:
     most_words: int = 2000
     prefix: int = 1000
     one_set_per_label: bool = False
-    extra: tuple[str, ...] = field(default=())
 
 
 def labelled(*pairs: tuple[Column, str]) -> Column:
@@ -57,27 +56,38 @@ def by_label(text: Column, label: Column) -> Column:
     return F.array(F.struct(text.alias("text"), X.decode_label(label).alias("label")))
 
 
-def candidates(source: Source, options: Options) -> DataFrame:
-    """The source's texts that its filter accepts, in order, with their hash, before any dedup."""
-    rows = source.table().select(F.col(source.order).alias("_o"), F.posexplode(source.texts).alias("_i", "_t"))
-    rows = rows.select(F.struct("_o", "_i").alias("ord"), F.col("_t.text").alias("text"), F.col("_t.label").alias("label"))
+def candidates(source: Source, rank: int, options: Options) -> DataFrame:
+    """The source's texts that its filter accepts, with their place (o, i) and hash, before any dedup."""
+    rows = source.table().select(F.col(source.order).cast("long").alias("o"), F.posexplode(source.texts).alias("i", "_t"))
+    rows = rows.select("o", "i", F.col("_t.text").alias("text"), F.col("_t.label").alias("label"))
     if source.cut_first:
         rows = rows.withColumn("text", X.first_words("text", options.most_words))
     rows = rows.where(accepted("text", source.least, source.most, source.unique) & F.col("label").isNotNull())
-    return rows.withColumn("hash", X.hash_prefix("text", options.prefix)).withColumn("source", F.lit(source.name))
+    return rows.select(F.lit(rank).alias("source_rank"), F.lit(source.name).alias("source"), "o", "i", X.hash_prefix("text", options.prefix).alias("hash"), "label", "text")
 
 
-def collect(sources: list[Source], options: Options = Options()) -> DataFrame:  # noqa: B008
-    """text, label, label_int and source of all accepted rows, with source_rank and ord."""
-    also = ("label",) if options.one_set_per_label else ()
+def choose(places: DataFrame, sources: list[Source], options: Options) -> DataFrame:
+    """Of the candidates' places (source_rank, o, i, hash, label) those that are accepted, source by source."""
+    key = ["hash", *(("label",) if options.one_set_per_label else ())]
     out = None
     for rank, source in enumerate(sources):
-        rows = first_wins(candidates(source, options), F.col("hash"), "ord", also)
+        rows = places.where(F.col("source_rank") == rank).groupBy(*key).agg(F.min(F.struct("o", "i")).alias("at"))
         if out is not None:
-            rows = rows.join(out.select("hash", *also), ["hash", *also], "left_anti")
+            rows = rows.join(out.select(*key), key, "left_anti")
         if source.cap is not None:
-            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("ord"))).where(F.col("_n") <= source.cap).drop("_n")
-        rows = rows.withColumn("source_rank", F.lit(rank)).withColumn("ord", F.to_json("ord"))
+            rows = rows.orderBy("at").limit(source.cap)  # the cap is the feature
+        rows = cut(rows.select(F.lit(rank).alias("source_rank"), "at.o", "at.i", *key))
         out = rows if out is None else out.unionByName(rows)
-    made = out.withColumn("text", X.first_words("text", options.most_words)).withColumn("label_int", X.encode_label("label"))
-    return made.select("text", "label", "label_int", "source", "source_rank", "ord", "hash")
+    return out
+
+
+def collect(sources: list[Source], options: Options = Options()) -> DataFrame:  # noqa: B008
+    """text, label, label_int and source of all accepted rows, with source_rank, o and i as their order.
+
+    Texts are read twice, once for the places and once for the rows; only places and hashes are kept in between.
+    """
+    every = [candidates(source, rank, options) for rank, source in enumerate(sources)]
+    places = cut(reduce(DataFrame.unionByName, (x.select("source_rank", "o", "i", "hash", "label") for x in every)))
+    kept = choose(places, sources, options).select("source_rank", "o", "i")
+    rows = reduce(DataFrame.unionByName, every).join(kept, ["source_rank", "o", "i"], "left_semi")
+    return rows.select(X.first_words("text", options.most_words).alias("text"), "label", X.encode_label("label").alias("label_int"), "source", "source_rank", "o", "i", "hash")
