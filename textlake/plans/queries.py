@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from textlake.functions import cleaning, metrics, rewrite, validity
 from textlake.functions import patterns as P
 from textlake.functions import text as X
-from textlake.operators import chunking, classifier, compare, dedup, language_model, reports, sampling, tokens
+from textlake.operators import bleu, chunking, classifier, compare, dedup, language_model, reports, sampling, tokens
 from textlake.plans import sql as S
 from textlake.sources import collect, synthetic
 from textlake.streaming import ingest
@@ -93,6 +93,24 @@ def valid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", validity.reason("text").alias("reason"))
 
 
+@query(f"SELECT doc_id, CASE WHEN reason = 'valid' AND lang <> 'en' THEN 'wrong_language_' || lang ELSE reason END AS reason FROM (SELECT doc_id, lang, {S.reason('t')} AS reason FROM (SELECT doc_id, lang, {TEXT} AS t FROM documents))")
+def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validity rules with the language rule last; the table's own language stands for a detector."""
+    return docs(spark, sf_dir).select("doc_id", validity.reason("text", language=F.col("lang")).alias("reason"))
+
+
+@query(
+    f"""SELECT source, n, correct, CASE WHEN correct / n < 0.7 THEN 'low' WHEN correct / n < 0.85 THEN 'moderate' ELSE 'good' END AS band
+    FROM (SELECT source, count(*) AS n, count(*) FILTER ((quality = 1) = ({S.reason("t")} = 'valid')) AS correct FROM (SELECT source, quality, {TEXT} AS t FROM documents JOIN labels USING (doc_id)) GROUP BY source)"""
+)
+def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each category, here the source, how many of the labelled rows are judged right, and the band of that share."""
+    rows = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    right = (F.col("quality") == 1) == (validity.reason("text") == "valid")
+    made = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(right.cast("long")).alias("correct"))
+    return made.select("source", "n", "correct", classifier.band(F.col("correct") / F.col("n")).alias("band"))
+
+
 @query(f"SELECT source, {S.reason('t')} AS reason, count(*) AS n FROM (SELECT source, {TEXT} AS t FROM documents) GROUP BY ALL")
 def reason_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy("source", validity.reason("text").alias("reason")).agg(F.count("*").alias("n"))
@@ -434,6 +452,41 @@ def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("pair", F.map_entries("improvements").alias("improvements"), F.map_entries("degradations").alias("degradations"), "summary")
 
 
+_PAIRS = f"(SELECT a.id AS pair, a.text AS before, z.text AS after FROM {TURNS} a JOIN {TURNS} z ON z.id = a.id + 1 AND a.label = 'human' AND z.label = 'ai')"
+
+
+def paired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns and the assistant turns right after them."""
+    rows = turns(spark, sf_dir)
+    before = rows.where("label = 'human'").select(F.col("id").alias("pair"), F.col("text").alias("before"))
+    after = rows.where("label = 'ai'").select((F.col("id") - 1).alias("pair"), F.col("text").alias("after"))
+    return before.join(after, "pair")
+
+
+def _gram_sql(column: str, name: str) -> str:
+    return f"SELECT pair, n, array_to_string(w[i : i + n - 1], ' ') AS gram, count(*) AS {name} FROM (SELECT pair, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM (SELECT pair, {S.words(column)} AS w FROM {_PAIRS}), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n) GROUP BY ALL"
+
+
+@query(
+    f"""WITH p AS ({_gram_sql("after", "p")}), r AS ({_gram_sql("before", "r")}), s AS (SELECT n, sum(least(p, coalesce(r, 0))) AS hits, sum(p) AS total FROM p LEFT JOIN r USING (pair, n, gram) GROUP BY n),
+    t AS (SELECT count(*) AS sizes, min(hits) AS least, sum(CASE WHEN hits > 0 THEN ln(hits / total) END) AS logs FROM s), l AS (SELECT CAST(sum({S.n_words("after")}) AS BIGINT) AS predicted_words, CAST(sum({S.n_words("before")}) AS BIGINT) AS reference_words FROM {_PAIRS})
+    SELECT predicted_words, reference_words, CASE WHEN sizes = 4 AND least > 0 THEN round(100 * exp(logs / 4 + CASE WHEN predicted_words >= reference_words THEN 0.0 ELSE 1 - reference_words / predicted_words END), 4) ELSE 0.0 END AS bleu FROM l, t"""
+)
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bleu.corpus_bleu(paired_turns(spark, sf_dir), "pair", "after", "before")
+
+
+@query(
+    f"""SELECT pair, {S.rounded("abs(x - y)", 4)} AS difference, CASE WHEN x > y THEN 'before' ELSE 'after' END AS more_human, CASE WHEN x <> 0 THEN {S.rounded("(y - x) / abs(x) * 100", 2)} ELSE 0.0 END AS pct
+    FROM (SELECT pair, CAST({S.n_words("before")} AS DOUBLE) AS x, CAST({S.n_words("after")} AS DOUBLE) AS y FROM {_PAIRS})"""
+)
+def pairwise_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two texts by one number, here their word counts."""
+    rows = paired_turns(spark, sf_dir).select("pair", X.n_words("before").cast("double").alias("x"), X.n_words("after").cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return rows.select("pair", compare.difference(x, y).alias("difference"), compare.more_human(x, y, "before", "after").alias("more_human"), compare.percent_change(x, y).alias("pct"))
+
+
 # Sampling and splits
 
 _RANKED = f"SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {S.rank_hash('id', 42)}, id) AS r, count(*) OVER (PARTITION BY label) AS t FROM {TURNS}"
