@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import patterns as P
-from textlake.functions.text import at_least, at_most, below, col, collapse, label, n_words, sentence_lengths
+from textlake.functions.text import at_least, at_most, below, col, collapse, count, label, n_words, sentence_lengths, words
 
 
 def with_lengths(df: DataFrame, text: str = "text", unit: str = "words") -> DataFrame:
@@ -78,8 +78,8 @@ def in_bin(bounds: tuple, k: int) -> Column:
 def n_syllables(c: Column | str) -> Column:
     """Vowel groups; a word without any counts as one."""
     text = F.lower(col(c))
-    bare = F.regexp_count(F.concat(F.lit(" "), collapse(F.regexp_replace(text, P.VOWELS, "#")), F.lit(" ")), F.lit("(?<= )[^ #]+(?= )"))
-    return F.regexp_count(text, F.lit(P.VOWELS)) + bare
+    marked = words(F.regexp_replace(text, P.VOWELS, "#"))
+    return count(text, P.VOWELS) + F.size(F.filter(marked, lambda w: ~F.contains(w, F.lit("#"))))
 
 
 def reading_ease(n_sentences: Column, words: Column, syllables: Column) -> Column:

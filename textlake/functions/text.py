@@ -28,12 +28,18 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^{P.WS}+|{P.WS}+$", "")
 
 
+def count(c: Column | str, found: str) -> Column:
+    """How often a pattern is found. Replacing runs is cheaper than gathering all matches."""
+    marked = F.regexp_replace(F.translate(col(c), "\u0001", " "), found, "\u0001")
+    return F.length(F.regexp_replace(marked, "[^\u0001]+", ""))
+
+
 def n_words(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(f"{P.NON_WS}+"))
+    return F.length(F.regexp_replace(F.regexp_replace(col(c), f"{P.NON_WS}+", "x"), f"{P.WS}+", ""))
 
 
 def words(c: Column | str) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(f"({P.NON_WS}+)"), F.lit(1))
+    return F.array_remove(F.split(collapse(c), " "), "")
 
 
 def first_words(c: Column | str, n: int) -> Column:
@@ -68,15 +74,15 @@ def unique_ratio(c: Column | str) -> Column:
 
 
 def n_letters(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(P.LETTER))
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"{P.LETTER}+", ""))
 
 
 def n_spaces(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(P.WS))
+    return F.length(col(c)) - F.length(F.regexp_replace(col(c), f"{P.WS}+", ""))
 
 
 def n_code_marks(c: Column | str) -> Column:
-    return F.regexp_count(col(c), F.lit(r"[{};\[]"))
+    return F.length(col(c)) - F.length(F.translate(col(c), "{};[", ""))
 
 
 def hash_exact(c: Column | str) -> Column:
