@@ -124,12 +124,23 @@ def test_compact_windows():
     """Each window's centre is its minimum, and each long subsequence lies in just one window with its minimum as centre."""
     import numpy as np
 
+    bounds = np.array([0, 60, 65, 65, 110])
     for seed in range(20):
-        h = np.random.default_rng(seed).integers(0, 2**63, 60, np.uint64)
-        spans = list(zip(*passages.compact_windows(h, 8), strict=True))
-        for begin in range(60):
-            for end in range(begin + 7, 60):
-                assert sum(x <= begin <= c <= end <= y and h[c] == h[begin : end + 1].min() for x, c, y in spans) == 1
+        h = np.random.default_rng(seed).integers(1, 2**63, 110, np.uint64)
+        spans = list(zip(*passages.compact_windows(h, bounds, 8), strict=True))
+        for first, last in ((0, 60), (65, 110)):
+            for begin in range(first, last):
+                for end in range(begin + 7, last):
+                    assert sum(x <= begin <= c <= end <= y and h[c] == h[begin : end + 1].min() for x, c, y in spans) == 1
+        assert all(first <= x and y < last for x, c, y in spans for first, last in zip(bounds, bounds[1:], strict=False) if first <= c < last)
+
+
+def test_dense():
+    import numpy as np
+
+    hit = np.array([1] * 10 + [0] * 30 + [1] * 20 + [0] + [1] * 20 + [0] * 5, bool)
+    assert passages.dense(hit, 15) == [(40, 81)] and passages.dense(hit, 15, 1.0) == [(40, 60), (61, 81)]
+    assert passages.dense(np.ones(50, bool), 50) == [(0, 50)] and passages.dense(np.zeros(50, bool), 5) == []
 
 
 def test_passages_with_odd_rows(docs, empty):

@@ -37,6 +37,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of the largest filter that is broadcast (8 MB).
+MOST_BITS = 1 << 26
+
+
+def likely(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the distinct ids (doc_id), and few others, without a shuffle of texts.
+
+    A Bloom filter of the ids drops the others. It has 16 bits for each id and ``MOST_BITS`` at most; with far more ids it
+    drops less. Joins on doc_id that follow make the result exact.
+    """
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * ids.count()).bit_length()))
+    places = F.array(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(bits)) for k in range(3)))
+    at = ids.select(F.explode(places).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).collect()
+    table = np.zeros(bits >> 6, np.int64)
+    for word in words:  # at most bits / 64
+        table[word["word"]] = word["set"]
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def known(places: pa.Array) -> pa.Array:
+        at = places.flatten().to_numpy()
+        hit = (shared.value[at >> 6] >> (at & 63)) & 1
+        return pa.array(hit.reshape(-1, 3).all(axis=1))
+
+    return df.where(F.arrow_udf(known, "boolean")(places))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of text, or one row."""
     for batch in batches:
