@@ -8,7 +8,7 @@ points that at least ``least_docs`` documents hold lose all their lines but thos
    so that a key which a third of all documents hold meets in no task.
 2. The rows go by hash to owners. An owner's filters have 16 bits for each of its rows, so no filter grows with the corpus.
 3. Only suspects shuffle again: an exact count and the largest doc_id for each 128-bit hash, both aggregated before the
-   shuffle, and a join (split by AQE where a key is frequent) that tells each document its lost keys.
+   shuffle, and a join, salted for frequent keys, that tells each document its lost keys.
 
 Null or empty text is one empty line. Rows that share a doc_id each count as a document and lose the same keys; a null
 doc_id is smaller than any other. An empty table gives an empty result. Other columns stay; one named like a result
@@ -33,6 +33,8 @@ PLAIN, REPEATS, SURE = 0, 1, 2
 #: Distinct keys that a worker gathers before it passes them on.
 GATHERED = 200_000
 PROBES = 4
+#: Parts in which the documents that hold a key meet its verdict.
+SALTS = 16
 
 
 def line_keys(text: bytes, least_points: int) -> list[bytes | None]:
@@ -111,7 +113,9 @@ def lost_keys(docs: DataFrame, least_points: int = 20, least_docs: int = 3) -> D
     dealt = seen.repartition(F.when(F.col("kind") == SURE, F.xxhash64("h1", "doc_id")).otherwise(F.col("h1")))
     suspects = cut(dealt.mapInArrow(_suspects, "h1 long, h2 long, doc_id long"))
     repeated = suspects.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= least_docs)
-    lost = suspects.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    lost = spread.join(salted, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
 
 
