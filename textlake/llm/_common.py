@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.operators.lineage import cut
+
 #: Text handled at once by a Python worker; one longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
-#: Distinct words that a worker remembers before it starts its memory anew.
-MEMO_WORDS = 200_000
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -28,24 +26,15 @@ def others(df: DataFrame, result: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c.lower() not in result]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the cluster's shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textlake-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 #: Bits of the largest filter that is broadcast (8 MB).
 MOST_BITS = 1 << 26
 
 
-def likely(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among the distinct ids (doc_id), and few others, without a shuffle of texts.
+def likely(df: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow(run, schema) over the rows whose doc_id is among the distinct ids (doc_id), and few others.
 
-    A Bloom filter of the ids drops the others. It has 16 bits for each id and ``MOST_BITS`` at most; with far more ids it
-    drops less. Joins on doc_id that follow make the result exact.
+    A Bloom filter of the ids drops the others, in the worker that runs the rest, so no text is shuffled. It has 16 bits
+    for each id and ``MOST_BITS`` at most; with far more ids it drops less. Joins on doc_id that follow make it exact.
     """
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * ids.count()).bit_length()))
     places = F.array(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(bits)) for k in range(3)))
@@ -56,12 +45,14 @@ def likely(df: DataFrame, ids: DataFrame) -> DataFrame:
         table[word["word"]] = word["set"]
     shared = df.sparkSession.sparkContext.broadcast(table)
 
-    def known(places: pa.Array) -> pa.Array:
-        at = places.flatten().to_numpy()
-        hit = (shared.value[at >> 6] >> (at & 63)) & 1
-        return pa.array(hit.reshape(-1, 3).all(axis=1))
+    def known(batches):
+        for batch in batches:
+            at = batch.column("_places").flatten().to_numpy()
+            hit = ((shared.value[at >> 6] >> (at & 63)) & 1).reshape(-1, 3).all(axis=1)
+            if hit.any():
+                yield batch.filter(pa.array(hit))
 
-    return df.where(F.arrow_udf(known, "boolean")(places))
+    return df.select("doc_id", "text", places.alias("_places")).mapInArrow(lambda batches: run(known(batches)), schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -99,19 +90,6 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 ALNUM = bytes(x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in LOWER)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -119,17 +97,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
-    """A hash of each window of ``width`` words, as signed 64-bit; of all words if there are fewer; none without words."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    width = min(width, len(hashes))
-    n, out = len(hashes) - width + 1, np.zeros(len(hashes) - width + 1, np.uint64)
-    for j in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
-    return mixed(out + np.uint64(width)).view(np.int64)
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b), as (id, component): its smallest id, for each id that has a link.
 

@@ -31,6 +31,8 @@ from textlake.llm._common import LOWER, Words, chunks, others, raw, rows
 
 RESULT = ("held_out", "lang_pred", "score")
 LONGEST_PIECE, PART = 16, 32
+#: Text handled at once: the more, the fewer words are scored again.
+CHUNK = 4 << 20
 #: Added to each expected count.
 SMOOTHING = 0.05
 UNKNOWN = "und"
@@ -148,7 +150,7 @@ def _gather(path: str):
     def run(batches):
         vocabulary = pieces(path)
         held: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(vocabulary.pieces) + 1))
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             lang, names = factorize(np.array(batch.column("lang").to_pylist(), object))
             codes, bounds, groups = distinct_words(raw(batch))
             if not len(codes):
@@ -217,7 +219,7 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def found(text: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for part in chunks([pa.RecordBatch.from_arrays([text], ["text"])]):
+        for part in chunks([pa.RecordBatch.from_arrays([text], ["text"])], limit=CHUNK):
             x, y = classify(pieces(path), raw(part), *model.value)
             langs += x
             scores += y

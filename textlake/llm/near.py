@@ -28,19 +28,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm._common import LOWER, WordHashes, chunks, components, cut, lists, others, raw, rows, shingles
+from textlake.llm._common import LOWER, Words, chunks, components, cut, likely, lists, mixed, others, raw, rows
 
 K, LISTED = 32, 32
+#: Parts in which the documents of a long list meet its pivot.
+SALTS = 16
 RESULT = ("n_shingles", "component_id", "kept")
 
 
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of ``width`` words."""
+    n = len(hashes) - width + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for j in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + max(0, n)]
+    return mixed(out + np.uint64(width)).view(np.int64)
+
+
 def shingle_sets(width: int):
     """An iterator's documents with their sorted shingle sets."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in chunks(batches):
-            sets = [np.unique(shingles(hashes.of(text.translate(LOWER).split()), width)) for text in raw(batch)]
+            words = Words([text.translate(LOWER) for text in raw(batch)])
+            hashes = words.hashes
+            every = shingles(hashes, width)
+            sets = []
+            for begin, end in zip(words.bounds.tolist(), words.bounds[1:].tolist(), strict=False):
+                few = end - begin < width
+                sets.append(np.unique(shingles(hashes[begin:end], end - begin) if few and end > begin else every[begin : max(begin, end - width + 1)]))
             yield batch.column("doc_id"), sets
 
     return run
@@ -117,7 +133,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     score = shared.groupBy("id").agg(F.sum("f").alias("score"), F.first("size").alias("size"), F.sum(F.when(F.col("f") > listed, 1).otherwise(0)).alias("long"))
     score = score.withColumn("share", F.col("score") / F.col("size"))
     pivots = long.join(score.select("id", "share"), "id").groupBy("v").agg(F.max(F.struct("share", F.xxhash64("v", "id").alias("mix"), "id", "n")).alias("p"))
-    starred = long.join(pivots.select("v", F.col("p.id").alias("pivot"), F.col("p.n").alias("np")), "v").where("id <> pivot")
+    pivots = pivots.select("v", F.col("p.id").alias("pivot"), F.col("p.n").alias("np")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = long.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    starred = spread.join(pivots, ["v", "salt"]).where("id <> pivot")
     starred = starred.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.col("n").alias("na"), F.col("np").alias("nb")).where(_sized(percent)).select("a", "b").distinct()
 
     sketches = own.select("id", "sketch")
@@ -129,7 +147,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
 
     hot = cut(score.where("2 * long >= size").select("id"))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot).distinct()
-    full = cut(texts.join(ids, "doc_id", "left_semi").mapInArrow(_full(width), "id long, shingles array<long>").distinct())
+    full = cut(likely(texts, cut(ids), _full(width), "id long, shingles array<long>").distinct())
     links = cut(_links(pairs, full, percent))
     joined = components(links)
     if not hot.isEmpty():

@@ -13,6 +13,7 @@ null doc_id is kept. An empty table gives no piece. Sequence ids are unique and
 from __future__ import annotations
 
 import json
+import os
 import zlib
 
 import numpy as np
@@ -27,6 +28,8 @@ from textlake.llm._common import chunks, raw, rows
 CAPACITY, END = 2048, 1
 #: Bytes of the longest word, with its space, that is known by a hash.
 LONGEST = 1024
+#: Text handled at once: the more, the fewer words are merged again.
+CHUNK = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 GAP, LETTER, DIGIT, OTHER = range(4)
 #: What an ASCII byte is to the tokenizer's word pattern; all other bytes of plain texts belong to letters.
@@ -51,13 +54,9 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         symbols = byte_symbols()
@@ -78,7 +77,12 @@ class WordIds:
         self.factors = np.random.default_rng(7).integers(1, 2**64, LONGEST, np.uint64) | np.uint64(1)
 
     def _other(self, text: bytes) -> bytes:
-        """The ids of any text."""
+        """The ids of any text. The tokenizer is loaded for the first of these."""
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, texts: list[bytes]) -> list[bytes | None]:
@@ -161,7 +165,7 @@ def _pack(tokenizer: str, capacity: int, end: int):
             out.clear()
             return rows(kind, **dict(zip(kind.names, columns, strict=True)))
 
-        for part in chunks(batches):
+        for part in chunks(batches, limit=CHUNK):
             for doc, own in zip(part.column("doc_id").to_pylist(), ids.of(raw(part)), strict=True):
                 own += last
                 n, at = len(own) // 4, 0
