@@ -148,6 +148,31 @@ def test_passages_with_odd_rows(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def frequent_line(n_words, own, n_pairs=40, n_docs=400):
+    """Pairs that share a frequent line with own words behind it, among documents that hold the line only."""
+    import random
+
+    draw = random.Random(n_words)
+    words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    line, items, pairs = words(n_words), [], []
+    items = [(i, f"{words(40)} {line} {words(40)}") for i in range(n_docs)]
+    for k in range(n_pairs):
+        tail = words(own)
+        pairs.append((n_docs + 2 * k, n_docs + 2 * k + 1))
+        items += [(i, f"{words(40)} {line} {tail} {words(40)}") for i in pairs[-1]]
+    items += [(n_docs + 2 * n_pairs + k, f"{line} " * 5) for k in range(2)]
+    return items, pairs
+
+
+@pytest.mark.parametrize("n_words, own", [(30, 20), (40, 12)])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_passages_with_a_frequent_line(spark, n_words, own, parts):
+    items, pairs = frequent_line(n_words, own)
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").repartition(parts)).collect()
+    linked = union_find([(r.doc_id, r.other_doc_id) for r in found if r.similarity == 1.0], [i for i, _ in items])
+    assert sum(linked[a] == linked[b] for a, b in pairs) == len(pairs)
+
+
 def test_shards(docs, empty):
     made = shards.shard(docs, n_shards=5).collect()
     assert len(made) == docs.count()
