@@ -173,6 +173,24 @@ def test_passages_with_a_frequent_line(spark, n_words, own, parts):
     assert sum(linked[a] == linked[b] for a, b in pairs) == len(pairs)
 
 
+@pytest.mark.parametrize("repeats", [0, 1])
+def test_passages_at_several_places(spark, repeats):
+    """Each place of a passage has a row, whatever chunks the documents are in."""
+    import random
+
+    draw = random.Random(8)
+    words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    passage = words(60)
+    often = " ".join(f"{words(740)} {passage}" for _ in range(5))
+    once = f"{words(70)} {passage} {words(70)}"
+    items = [(i, often if i == repeats else once) for i in range(2)]
+    for parts in ([items], [items[:1], items[1:]]):
+        df = spark.createDataFrame(spark.sparkContext.parallelize([x for p in parts for x in p], len(parts)), "doc_id long, text string")
+        found = passages.repeated_passages(df).collect()
+        places = {(r.start_word, r.end_word) if r.doc_id == repeats else (r.other_start_word, r.other_end_word) for r in found}
+        assert {(800 * k + 740, 800 * k + 800) for k in range(5)} <= places
+
+
 def test_shards(docs, empty):
     made = shards.shard(docs, n_shards=5).collect()
     assert len(made) == docs.count()
