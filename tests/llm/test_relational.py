@@ -120,6 +120,20 @@ def test_passages(plain, plain_docs):
     assert {r.doc_id for r in found} | {r.other_doc_id for r in found} <= ids | {2}
 
 
+def test_stretches_of_many_places():
+    """A passage that one document holds once and the other often: every match under enough hash functions is kept."""
+    import numpy as np
+
+    n = 1500
+    matches = np.array([(kind, kind, 60, 100 * k + kind, 100 * k + 60) for kind in range(4) for k in range(n)])
+    for turned in (matches, matches[:, [0, 3, 4, 1, 2]]):
+        found = passages.stretches(turned, 46)
+        places = np.array(found)[:, 2:] if turned is matches else np.array(found)[:, :2]
+        assert {x // 100 for x in places[:, 0].tolist()} == set(range(n))
+    alone = np.array([(0, 0, 60, 100 * k, 100 * k + 60) for k in range(n)])
+    assert passages.stretches(alone, 46) == []
+
+
 def test_compact_windows():
     """Each window's centre is its minimum, and each long subsequence lies in just one window with its minimum as centre."""
     import numpy as np
