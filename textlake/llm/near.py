@@ -4,12 +4,13 @@ A document's set holds its distinct ``width``-word shingles (64-bit hashes; word
 lower-cased). Documents with 100 * |intersection| >= ``percent`` * |union| are linked; components are the result.
 
 1. Documents with equal sets are one class, found by a digest; all that follows is on one representative each.
-2. A sketch is the k smallest shingle hashes. Linked documents share at least half of their sketches: at a true similarity
-   of 0.85, fewer than 16 of 32 has a chance of about 5e-7. So a list of documents is made for each value that sketches
+2. A sketch is the k smallest shingle hashes. Linked documents share at least ``agreed`` percent of their sketches, half by
+   default: at a true similarity of 0.85, fewer than 16 of 32 has a chance of about 5e-7, at 0.8 of about 3e-5. For 0.8
+   take 40 percent: fewer than 13 of 32 has a chance of about 2e-7. So a list of documents is made for each value that sketches
    share. Lists of at most ``listed`` documents give their pairs; a longer one gives pairs with one pivot only, the
    document with the most shared values.
-3. Pairs whose union sketch has under half of its values in both are dropped; the rest are verified on the full sets.
-4. A document with fewer than half of its values in long lists shares a short list with each partner, so nothing is lost.
+3. Pairs whose union sketch has fewer of its values in both are dropped; the rest are verified on the full sets.
+4. A document with fewer than ``agreed`` percent of its values in long lists shares a short list with each partner, so nothing is lost.
    For the others (members of groups of thousands of near copies) an exact way follows: a prefix filter on their full
    sets, the rarest shingles first, with size and position bounds. Only pairs from different components so far are made,
    and only between a list's largest component and the rest, so a group that is already connected gives none.
@@ -116,7 +117,7 @@ def _rest(hot: DataFrame, full: DataFrame, joined: DataFrame, percent: int) -> D
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, listed: int = LISTED) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int = K, listed: int = LISTED, agreed: int = 50) -> DataFrame:
     """The documents with n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(texts.mapInArrow(_sketch(width, k), "doc_id long, digest binary, n long, sketch array<long>"))
@@ -140,12 +141,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
 
     sketches = own.select("id", "sketch")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    near = 2 * F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.size("u")
+    near = 100 * F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= agreed * F.size("u")
     pairs = pairs.union(starred).distinct()
     pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = cut(pairs.withColumn("u", union).where(near).select("a", "b").distinct())
 
-    hot = cut(score.where("2 * long >= size").select("id"))
+    hot = cut(score.where(100 * F.col("long") >= agreed * F.col("size")).select("id"))
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot).distinct()
     full = cut(likely(texts, cut(ids), _full(width), "id long, shingles array<long>").distinct())
     links = cut(_links(pairs, full, percent))
