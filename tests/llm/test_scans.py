@@ -51,6 +51,16 @@ def test_license_gate_loses_no_rule():
         assert licenses._keyword(name).decode() in name
 
 
+def test_identifiers_in_either_spelling():
+    """A statement with an identifier is found by itself, as license or licence."""
+    for label, _, identifier in licenses.FAMILIES:
+        if " " in identifier:
+            for statement in ("license", "licence", "license is", "licence is"):
+                rules = [r for r in licenses.rules() if r.label == label and r.priority == 75 and r.found.search(f" {statement} {identifier} ".encode())]
+                assert rules and all(r.keyword in f" {statement} {identifier} ".encode() for r in rules), (statement, identifier)
+    assert licenses.scan(b"licence: apache 2 0")[5] == "apache-2"
+
+
 def test_licenses_with_odd_rows(docs, empty):
     assert licenses.scan_licenses(docs).count() == docs.count()
     assert licenses.scan_licenses(empty).count() == 0

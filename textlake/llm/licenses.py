@@ -156,7 +156,7 @@ def rules() -> tuple[Rule, ...]:
             add(label, _keyword(name), statement.format(name), weight, priority)
         add(label, b"spdx", rf"spdx license identifier {identifier}(?: only| or later)?", 0.99, 100)
         if " " in identifier:
-            add(label, b"license", rf"licen[cs]e (?:is )?{identifier}", 0.9, 75)
+            add(label, b"licen", rf"licen[cs]e (?:is )?{identifier}", 0.9, 75)
     for label, keyword, expression, weight, priority in SIGNATURES:
         add(label, keyword.encode(), expression, weight, priority)
     for phrase, label in BASE:
