@@ -127,11 +127,75 @@ def test_stretches_of_many_places():
     n = 1500
     matches = np.array([(kind, kind, 60, 100 * k + kind, 100 * k + 60) for kind in range(4) for k in range(n)])
     for turned in (matches, matches[:, [0, 3, 4, 1, 2]]):
-        found = passages.stretches(turned, 46)
-        places = np.array(found)[:, 2:] if turned is matches else np.array(found)[:, :2]
+        found = passages.stretches(np.zeros(len(turned), int), turned, 46)[1]
+        places = found[:, 2:] if turned is matches else found[:, :2]
         assert {x // 100 for x in places[:, 0].tolist()} == set(range(n))
     alone = np.array([(0, 0, 60, 100 * k, 100 * k + 60) for k in range(n)])
-    assert passages.stretches(alone, 46) == []
+    assert len(passages.stretches(np.zeros(n, int), alone, 46)[0]) == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_agreed_matches_by_brute_force(seed):
+    """Thousands of random matches in several groups: the sweep keeps those that brute force keeps."""
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    n, most = 3000, 20
+    group, kind = np.sort(draw.integers(0, 4, n)), draw.integers(0, 4, n)
+    a0, b0 = draw.integers(0, [400, 1200, 2500][seed % 3], (2, n))
+    a1, b1 = a0 + draw.integers(most - 1, 60, n), b0 + draw.integers(most - 1, 200, n)
+    order = np.lexsort((a0, group))
+    group, kind, a0, a1, b0, b1 = (x[order] for x in (group, kind, a0, a1, b0, b1))
+    wide = lambda x0, x1: np.minimum(x1[:, None], x1) - np.maximum(x0[:, None], x0) + 1 >= most
+    both = wide(a0, a1) & wide(b0, b1) & (group[:, None] == group)
+    for enough in (2, 3):
+        want = sum((both & (kind == k)).any(axis=1).astype(int) for k in range(4)) >= enough
+        assert (passages.agreed(group, kind, a0, a1, b0, b1, most, enough) == want).all()
+    assert want.any()
+
+
+def test_stretches_within_equal_ones():
+    """Matches within an equal stretch change nothing; an equal stretch needs no other hash function."""
+    import numpy as np
+
+    equal = np.array([(passages.EXACT, k, k + 45, k + 7, k + 52) for k in range(30)])
+    more = np.array([(kind, 3, 60, 9, 70) for kind in range(4)])
+    for rows in (equal, np.concatenate([more, equal])):
+        group, found = passages.stretches(np.zeros(len(rows), int), rows, 46)
+        assert group.tolist() == [0] and found.tolist() == [[0, 74, 7, 81]]
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 200 words with some words changed, so that no 50 are equal: nine of ten pairs are found where 0.8 or more of the shingles are."""
+    import random
+
+    draw = random.Random(3)
+    words = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    items, alike = [], {}
+    for k in range(0, 400, 2):
+        passage = words(200)
+        edited = list(passage)
+        for place in range(24 + draw.randrange(4), 200, 48):
+            edited[place] = f"new{k}x{place}"
+        one, two = ({tuple(x[i : i + 5]) for i in range(196)} for x in (passage, edited))
+        alike[k] = len(one & two) / len(one | two)
+        for i, own in ((k, passage), (k + 1, edited)):
+            items.append((i, " ".join(words(draw.randrange(60)) + own + words(draw.randrange(60)))))
+    assert min(alike.values()) >= 0.8
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").repartition(4)).collect()
+    pairs = {(min(r.doc_id, r.other_doc_id), max(r.doc_id, r.other_doc_id)) for r in found}
+    assert pairs <= {(k, k + 1) for k in alike} and len(pairs) >= 0.9 * len(alike)
+
+
+def test_pairs_beside_a_hub(spark):
+    """However many pairs a key has, each meets its row once."""
+    from textlake.llm._common import beside
+
+    pairs = spark.createDataFrame([(0, i, i * 2) for i in range(500)] + [(i, i + 1, 5) for i in range(1, 40)], "a long, b long, x long")
+    table = spark.createDataFrame([(i, [i, i]) for i in range(30)], "id long, held array<long>")
+    made = beside(pairs, "a", "b", table)
+    got = sorted((r.a, r.b, r.x, tuple(r.held)) for r in made.collect())
+    assert got == sorted((a, b, x, (a, a)) for a, b, x in [(0, i, i * 2) for i in range(500)] + [(i, i + 1, 5) for i in range(1, 30)])
 
 
 def test_compact_windows():

@@ -28,6 +28,44 @@ def others(df: DataFrame, result: tuple[str, ...]) -> list[str]:
 
 #: Bits of the largest filter that is broadcast (8 MB).
 MOST_BITS = 1 << 26
+#: Bits of a filter's block, which one task sets and sends as one row.
+BLOCK_BITS = 1 << 19
+
+
+def filter_bits(n: int, most: int = MOST_BITS) -> int:
+    """16 bits for each of n keys, as a power of two, but at most ``most``."""
+    return 1 << min(most.bit_length() - 1, max(10, (16 * n).bit_length()))
+
+
+def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A filter's 64-bit words, in which the bits at the given places (at) are set.
+
+    Each block of ``BLOCK_BITS`` is set by one task, so the driver gets as many rows as there are blocks, ``bits`` / 8 bytes in all.
+    """
+    schema = pa.schema([("block", pa.int64()), ("set", pa.binary())])
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            block = at // BLOCK_BITS
+            for one in np.unique(block).tolist():
+                own = held.setdefault(one, np.zeros(min(bits, BLOCK_BITS), bool))
+                own[at[block == one] % BLOCK_BITS] = True
+        for one, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], schema=schema)
+
+    dealt = places.select("at").repartition(F.shiftright("at", BLOCK_BITS.bit_length() - 1))
+    table = np.zeros(bits >> 6, np.int64)
+    size = min(bits, BLOCK_BITS) >> 6
+    for row in dealt.mapInArrow(run, "block long, set binary").collect():  # at most bits / BLOCK_BITS
+        table[row.block * size : (row.block + 1) * size] |= np.frombuffer(row.set, np.int64)
+    return table
+
+
+def in_filter(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the rows of places (rows by probes) have all their bits set."""
+    return ((table[places >> 6] >> (places & 63)) & 1).astype(bool).all(axis=1)
 
 
 def likely(df: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
@@ -36,25 +74,33 @@ def likely(df: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
     A Bloom filter of the ids drops the others, in the worker that runs the rest, so no text is shuffled. It has 16 bits
     for each id and ``MOST_BITS`` at most; with far more ids it drops less. Joins on doc_id that follow make it exact.
     """
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * ids.count()).bit_length()))
+    bits = filter_bits(ids.count())
     places = F.array(*(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(bits)) for k in range(3)))
-    at = ids.select(F.explode(places).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).collect()
-    table = np.zeros(bits >> 6, np.int64)
-    for word in words:  # at most bits / 64
-        table[word["word"]] = word["set"]
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared = df.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.explode(places).alias("at")), bits))
 
     def known(batches):
         for batch in batches:
-            at = batch.column("_places").flatten().to_numpy()
-            hit = ((shared.value[at >> 6] >> (at & 63)) & 1).reshape(-1, 3).all(axis=1)
+            hit = in_filter(shared.value, batch.column("_places").flatten().to_numpy().reshape(-1, 3))
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
     return df.select("doc_id", "text", places.alias("_places")).mapInArrow(lambda batches: run(known(batches)), schema)
 
 
+def beside(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFrame:
+    """Pairs with the columns of the table's row whose id is ``key``, however many pairs a key has.
+
+    Pairs are gathered for each key and hash range of ``other``, as many ranges as there are shuffle partitions, and only
+    these lists meet in the join: a key with a third of all pairs is spread over all tasks, and its table row is copied
+    once for each list.
+    """
+    ranges = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in pairs.columns if c != key]
+    lists = pairs.groupBy(key, F.pmod(F.xxhash64(other), F.lit(ranges)).alias("_range")).agg(F.collect_list(F.struct(*rest)).alias("_pairs"))
+    met = lists.join(table.withColumnRenamed("id", key), key)
+    return met.select(key, *(c for c in table.columns if c != "id"), F.explode("_pairs").alias("_pair")).select(key, "_pair.*", *(c for c in table.columns if c != "id"))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of text, or one row."""
     for batch in batches:
