@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +103,13 @@ def beside(pairs: DataFrame, key: str, other: str, table: DataFrame) -> DataFram
     return met.select(key, *(c for c in table.columns if c != "id"), F.explode("_pairs").alias("_pair")).select(key, "_pair.*", *(c for c in table.columns if c != "id"))
 
 
+def tidy() -> None:
+    """Gives the memory of finished chunks back to the system, which the allocators would keep for a worker that now waits."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -113,6 +122,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += size
         if begin < len(sizes):
             yield batch.slice(begin)
+        del batch, sizes
+        tidy()
+
+
+def in_chunks(made, *columns: pa.Array, limit: int = CHUNK_BYTES) -> pa.Array:
+    """What ``made`` (a record batch of text and the other columns to an array) gives for each chunk of a column of texts, joined."""
+    names = ["text", *(f"c{i}" for i in range(1, len(columns)))]
+    parts = [made(x) for x in chunks([pa.RecordBatch.from_arrays(list(columns), names)], limit=limit)]
+    return pa.concat_arrays(parts) if parts else made(pa.RecordBatch.from_arrays(list(columns), names))
 
 
 def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -182,25 +200,27 @@ class Words:
         self.data = np.frombuffer(joined.translate(table) if table else joined, np.uint8)
         inside = _INSIDE[self.data]
         turn = np.diff(inside.view(np.int8), prepend=np.int8(0))
-        begins = turn == 1
-        self.starts = np.flatnonzero(begins)
+        self.starts = np.flatnonzero(turn == 1)
         self.sizes = np.flatnonzero(turn == -1) - self.starts
         self.offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)])
         self.bounds = np.searchsorted(self.starts, self.offsets)
         self.inside = inside
-        self._begins = begins
 
     @property
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        number = np.maximum(np.cumsum(self._begins, dtype=np.int32) - 1, 0)
-        place = np.arange(len(self.data)) - self.starts[number]
-        part = (self.data + np.uint64(1)) * _FACTORS[place & 1023]
-        if self.sizes.max() > 1024:
-            part *= (2 * (place >> 10) + 1).astype(np.uint64)
-        part *= self.inside
-        return mixed(np.add.reduceat(part, self.starts) + self.sizes.astype(np.uint64))
+        """Made in blocks of some bytes, so that one very long text takes no more than a few times its size."""
+        out = np.empty(len(self.starts), np.uint64)
+        edges = np.unique(np.concatenate([np.searchsorted(self.starts, np.arange(0, len(self.data), CHUNK_BYTES)), [len(self.starts)]])).tolist()
+        for i, j in zip(edges, edges[1:], strict=False):
+            begin, end = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
+            starts = self.starts[i:j] - begin
+            place = np.arange(end - begin) - np.repeat(starts, np.diff(np.append(starts, end - begin)))
+            part = (self.data[begin:end] + np.uint64(1)) * _FACTORS[place & 1023]
+            if self.sizes[i:j].max() > 1024:
+                part *= (2 * (place >> 10) + 1).astype(np.uint64)
+            part *= self.inside[begin:end]
+            out[i:j] = np.add.reduceat(part, starts)
+        return mixed(out + self.sizes.astype(np.uint64))
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
         """Sums over each text of a value for each byte."""

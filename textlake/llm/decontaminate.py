@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import ALNUM, LOWER, cut, others
+from textlake.llm._common import ALNUM, LOWER, cut, in_chunks, others, raw
 
 RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -116,17 +116,20 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
     keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     if len(shared) <= 1:
 
-        @F.arrow_udf(STRUCT)
-        def once(text: pa.Array) -> pa.Array:
+        def scanned(chunk: pa.RecordBatch) -> pa.Array:
             n_words, n_hit, items = [], [], []
-            for one in text.cast(pa.binary()).to_pylist():
-                words = (one or b"").translate(ALNUM).split()
+            for one in raw(chunk):
+                words = one.translate(ALNUM).split()
                 found, own = _automaton(shared[0]).scan(words) if shared else ([], set())
                 n_words.append(len(words))
                 n_hit.append(sum(y - x for x, y in found))
                 items.append(own)
             return _result(n_words, n_hit, items)
 
+        @F.arrow_udf(STRUCT)
+        def once(text: pa.Array) -> pa.Array:
+            return in_chunks(scanned, text)
+
         return docs.select(*keep, once("text").alias("_made")).select(*keep, "_made.*")
 
     def scan(k: int):

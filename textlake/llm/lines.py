@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.llm._common import LOWER, chunks, cut, others, raw, rows
+from textlake.llm._common import LOWER, chunks, cut, in_chunks, others, raw, rows
 
 BLANK = b" \t\n\r\x0b\x0c"
 PLAIN, REPEATS, SURE = 0, 1, 2
@@ -122,19 +122,22 @@ def lost_keys(docs: DataFrame, least_points: int = 20, least_docs: int = 3) -> D
 def drop_repeated_lines(docs: DataFrame, least_points: int = 20, least_docs: int = 3) -> DataFrame:
     """The documents with their lost lines taken out of ``text``, and n_lines (before) and n_dropped."""
 
-    @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
-    def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
+    def remaining(chunk: pa.RecordBatch) -> pa.Array:
         texts, n_lines, n_dropped = [], [], []
-        for one, gone in zip(text.cast(pa.binary()).to_pylist(), lost.to_pylist(), strict=True):
-            lines = (one or b"").split(b"\n")
+        for one, gone in zip(raw(chunk), chunk.column(1).to_pylist(), strict=True):
+            lines = one.split(b"\n")
             n_lines.append(len(lines))
             if gone:
                 gone = {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in gone}
-                lines = [x for x, key in zip(lines, line_keys(one or b"", least_points), strict=True) if key not in gone]
+                lines = [x for x, key in zip(lines, line_keys(one, least_points), strict=True) if key not in gone]
             n_dropped.append(n_lines[-1] - len(lines))
             texts.append(b"\n".join(lines))
         return pa.StructArray.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
+    @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
+    def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
+        return in_chunks(remaining, text, lost)
+
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
     lost = lost_keys(docs, least_points, least_docs).withColumnRenamed("doc_id", "lost_id")
     made = whole.join(lost, F.col("whole.doc_id").cast("long").eqNullSafe(F.col("lost_id")), "left").select("whole", kept("whole.text", "lost").alias("made"))

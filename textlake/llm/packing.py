@@ -28,8 +28,8 @@ from textlake.llm._common import chunks, raw, rows
 CAPACITY, END = 2048, 1
 #: Bytes of the longest word, with its space, that is known by a hash.
 LONGEST = 1024
-#: Text handled at once: the more, the fewer words are merged again.
-CHUNK = 4 << 20
+#: Text handled at once: the more, the fewer words are merged again, but arrays of some 40 bytes a byte are made of it.
+CHUNK = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 GAP, LETTER, DIGIT, OTHER = range(4)
 #: What an ASCII byte is to the tokenizer's word pattern; all other bytes of plain texts belong to letters.
