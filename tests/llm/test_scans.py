@@ -225,19 +225,52 @@ def test_quality_outliers(spark):
             words[k] = f"word{i}x{k}"
         junk = i % 5 == 0
         rows.append((i, " ".join(f"{w}###" for w in words) if junk else " ".join(words), "en" if i % 2 else "fr", "s", junk))
-    made = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean"), least=100).collect()
-    assert all(r.kept != r.junk for r in made)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    made = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(r.kept != r.junk for r in made.values())
+    most, quality.MOST_GROUPS = quality.MOST_GROUPS, 1  # more groups than are estimated at once
+    try:
+        again = quality.judge(df).collect()
+    finally:
+        quality.MOST_GROUPS = most
+    assert all(r.kept == made[r.doc_id].kept and abs(r.distance - made[r.doc_id].distance) < 1e-6 for r in again)
+
+
+def test_few_rows_have_the_method_too(spark):
+    """Forty clean documents and three of junk: the junk goes, whatever the number of rows."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for i in range(43):
+        words = [f"w{x}" for x in draw.integers(0, 400, 80)]
+        rows.append((i, " ".join(f"{w} #*$%" for w in words) if i >= 40 else " ".join(words), "en", f"s{i % 3}"))
+    made = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept == (r.doc_id < 40) for r in made)
 
 
-def test_estimates_are_robust(spark):
-    """The estimate is near the bulk's moments, whatever the outliers are."""
+def test_least_determinant_by_brute_force(spark):
+    """The estimate's determinant is no larger than what many random starts reach, and its rows are the nearest ones."""
     draw = np.random.default_rng(2)
-    bulk = draw.normal(0, 0.5, (3000, quality.P))
-    rows = [("l", "s", i % quality.SALTS, x.tolist()) for i, x in enumerate(np.vstack([bulk, draw.normal(8, 1, (500, quality.P))]))]
-    found = quality.estimates(spark.createDataFrame(rows, "lang string, source string, salt int, x array<double>")).collect()
-    assert len(found) == 1 and np.abs(np.array(found[0].centre)).max() < 0.1
-    spread = np.diag(np.linalg.inv(np.array(found[0].inverse).reshape(quality.P, quality.P))) - np.square(quality.FLOORS)
-    assert np.all(np.abs(np.sqrt(spread) - 0.5) < 0.1)
+    bulk = draw.normal(0, 0.5, (3000, quality.P)) @ np.linalg.qr(draw.normal(size=(quality.P, quality.P)))[0] * draw.uniform(0.5, 2, quality.P) + 3
+    x = np.vstack([bulk, draw.normal(9, 1, (700, quality.P))])
+    rows = [("l\x00s", "l", v.tolist()) for v in x]
+    found = quality.Estimate(spark.createDataFrame(rows, "own string, lang string, x array<double>").repartition(3), ["l\x00s"])
+    h = int(np.ceil(quality.SHARE * len(x)))
+    floor = np.diag(np.square(quality.FLOORS))
+
+    def steps(centre, spread):
+        for _ in range(30):
+            near = np.argsort(quality.distances(x, np.broadcast_to(centre, x.shape), np.broadcast_to(np.linalg.inv(spread), (len(x), quality.P, quality.P))))[:h]
+            centre, spread = x[near].mean(axis=0), quality.CONSISTENCY * np.cov(x[near].T, bias=True) + floor
+        return np.linalg.slogdet(spread)[1], centre
+
+    tried = []
+    for _ in range(40):
+        first = x[draw.choice(len(x), 60, replace=False)]
+        tried.append(steps(first.mean(axis=0), np.cov(first.T) + floor))
+    least, centre = min(tried, key=lambda t: t[0])
+    assert abs(found.determinant.min() - least) < 0.1
+    assert np.abs(found.centre[0] - centre).max() < 0.05 and np.abs(found.centre[0] - bulk.mean(axis=0)).max() < 0.1
+    assert found.rows.tolist() == [len(x)]
 
 
 URLS = ["http://A.Example.NET/en/1?x", "https://example.net/EN/", "http://b.net", "http://b.net?/", "ftp://x.org/fr/", "http://org/fr/a#b", "http://de.example.com/de/x", "http://myexample.com/de/x", "no scheme", "", None, "http://casino-online.example/casino/bonus", "x://h/p://q#"]

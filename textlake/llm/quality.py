@@ -2,28 +2,41 @@
 
 Base rules come first: too few words, or too many words in repeated windows. Of the documents that pass them, a vector of
 statistics is taken: symbols, words without letters, repeated words, words equal to the one before (for each word), repeated
-lines (for each line), capital letters (for each letter) and the logarithm of the mean word length. Each is a ratio with a pseudo-count, which keeps short
-texts near the usual value. For each (language, source) the centre and covariance come from concentration steps over all
-rows: a start at medians and median deviations, then, again and again, the moments of the ``share`` of rows that are
-nearest by Mahalanobis distance, as aggregates; no group is gathered, and rows meet their group's few numbers in a join
-that is salted for hot groups. Groups of fewer than ``least`` rows use their language's estimate, or that of all rows; if
-there are fewer than that, the base rules decide alone. A document is rejected if its squared distance exceeds ``cutoff``.
-``FLOORS`` is the least spread of each statistic: deviations below it say nothing (most statistics are 0 in clean text).
-
-Null text has no words. Null languages and sources are values of their own. Repeated rows count as often as they occur.
-An empty table gives an empty result. Other columns stay; one named like a result column is replaced.
+lines (for each line), capital letters (for each letter) and the logarithm of the mean word length. Each is a ratio with a
+pseudo-count, which keeps short texts near the usual value.
+
+For each group, a language and a source, the estimate is that of the ``SHARE`` of its rows whose covariance has the least
+determinant. Three starts (medians with median deviations, the spatial signs' covariance, the correlation of squashed
+scores) are each improved by concentration steps over all rows until their determinant settles: the moments of the
+rows that are nearest by Mahalanobis distance, as aggregates. The start with the least determinant is taken. The same is
+done for each language and for all rows, and an estimate is drawn to the next wider one by n / (n + ``PRIOR``), that of all
+rows to a wide prior, so that a group's size changes its estimate without a step. A document is rejected if its squared
+distance exceeds ``cutoff``. ``FLOORS`` is the least spread of each statistic: deviations below it say nothing (most
+statistics are 0 in clean text).
+
+No group is gathered: workers add up sums and histograms, and the aggregation's keys are single numbers of these, so that
+a group with a third of all rows is spread. Up to ``MOST_GROUPS`` groups are estimated at once, their few numbers on the
+driver and broadcast; more groups are done in blocks of that many, and meet their rows in a salted join.
+
+Null text has no words. Null languages and sources are values of their own. Repeated rows count as often as they occur;
+ties in distance are all taken. One very long text needs a few times its size. An empty table gives an empty result.
+Other columns stay; one named like a result column is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textlake.llm._common import Words, chunks, cut, mixed, others, raw, rows
+from textlake.llm._common import Words, cut, in_chunks, mixed, others, raw, rows
+from textlake.operators.lineage import shared_folder
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_letters", "n_capitals", "n_bare_words", "n_echoes")
@@ -33,7 +46,10 @@ FLOORS = (0.05, 0.03, 0.05, 0.1, 0.03, 0.05, 0.03)
 P = len(FLOORS)
 #: Squared distance beyond which a document is an outlier: the chi-squared distribution with seven degrees of freedom leaves about 1e-11.
 CUTOFF = 66.0
-SHARE, STEPS, LEAST, SALTS = 0.75, 3, 200, 16
+SHARE, STEPS, SALTS = 0.75, 12, 16
+#: Rows of the next wider estimate that stand beside a group's own, and groups that are estimated at once.
+PRIOR, MOST_GROUPS = 200, 4096
+STARTS, BINS = 3, 1 << 14
 #: Makes the covariance of the nearest 75 % of normal rows in seven dimensions that of all.
 CONSISTENCY = 1.325
 
@@ -92,8 +108,7 @@ STRUCT = "struct<" + ",".join(f"{c}:long" for c in (*COUNTS, *MORE)) + ">"
 
 def _counts(text: pa.Array) -> pa.Array:
     schema = pa.schema([(c, pa.int64()) for c in (*COUNTS, *MORE)])
-    parts = [rows(schema, **{k: pa.array(v, pa.int64()) for k, v in count(raw(x)).items()}) for x in chunks([pa.RecordBatch.from_arrays([text], ["text"])])]
-    return pa.Table.from_batches(parts, schema).to_struct_array().combine_chunks()
+    return in_chunks(lambda x: rows(schema, **{k: pa.array(v, pa.int64()) for k, v in count(raw(x)).items()}).to_struct_array(), text)
 
 
 def counts(text: str) -> Column:
@@ -118,88 +133,243 @@ def statistics(c: Column) -> list[Column]:
     ]
 
 
-def _shape(pdf):
-    """Group rows with moments to rows with a centre and an inverse covariance."""
-    for x in pdf:
-        n = x["n"].to_numpy(float)
-        sums = np.stack(x["sums"].to_numpy()) if len(x) else np.empty((0, P))
-        squares = np.stack(x["squares"].to_numpy()).reshape(-1, P, P) if len(x) else np.empty((0, P, P))
-        mean = sums / n[:, None]
-        spread = CONSISTENCY * (squares / n[:, None, None] - mean[:, :, None] * mean[:, None, :]) + np.diag(np.square(FLOORS))
-        inverse = np.linalg.inv(spread) if len(x) else spread
-        yield pd.DataFrame({"lang": x["lang"], "source": x["source"], "centre": list(mean), "inverse": [list(y.ravel()) for y in inverse]})
+#: A squared distance as a bin, and a statistic as a bin of a 32nd of its floor.
+def _distance_bin(d: np.ndarray) -> np.ndarray:
+    return np.clip(64 * np.log2(1 + d), 0, BINS - 1).astype(np.int64)
 
 
-def _distance() -> Column:
-    """The squared distance of a row's vector x from its group's centre."""
-    d = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
-    return sum((d[i] * d[j] * F.col("inverse")[P * i + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
-
-
-def _met(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows and what their groups have; a group's row is there for each salt."""
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return vectors.join(salted, ["lang", "source", "salt"])
-
-
-def estimates(vectors: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Centre and inverse covariance for each (lang, source) of the rows (lang, source, salt, x)."""
-    key = ["lang", "source"]
-    middle = F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(P)))
-    first = cut(vectors.groupBy(key).agg(middle.alias("centre")))
-    away = F.array(*(F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000) for i in range(P)))
-    apart = _met(vectors, first).groupBy(key).agg(F.first("centre").alias("centre"), away.alias("away"))
-    scale = [F.pow(F.greatest(1.4826 * F.col("away")[i], F.lit(FLOORS[i])), F.lit(-2.0)) for i in range(P)]
-    now = cut(apart.select(*key, "centre", F.array(*(scale[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse")))
-    for _ in range(steps):
-        near = _met(vectors, now).groupBy(key).agg(F.percentile_approx(_distance(), share, 1000).alias("radius"))
-        kept = _met(vectors, now.join(near, key)).where(_distance() <= F.col("radius"))
-        sums = [F.sum(F.col("x")[i]) for i in range(P)]
-        squares = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(P) for j in range(P)]
-        moments = kept.groupBy(key).agg(F.count("*").alias("n"), F.array(*sums).alias("sums"), F.array(*squares).alias("squares"))
-        now = cut(moments.mapInPandas(_shape, "lang string, source string, centre array<double>, inverse array<double>"))
-    return now
+def _value_bin(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(x * 32 / np.array(FLOORS)), 0, BINS - 1).astype(np.int64)
+
+
+def key(lang: Column, source: Column | None = None) -> Column:
+    """A group's name; without a source that of a whole language."""
+    return F.concat(lang, F.lit("\x00"), source) if source is not None else lang
 
 
 ALL = "\x00"
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+MOMENTS = 1 + P + len(_PAIRS)
+
+
+def moments(group: np.ndarray, x: np.ndarray, n_groups: int) -> np.ndarray:
+    """For each group the number of rows, the sums and the products' sums."""
+    columns = [np.ones(len(x)), *x.T, *(x[:, i] * x[:, j] for i, j in _PAIRS)]
+    return np.stack([np.bincount(group, c, n_groups) for c in columns], axis=1)
+
+
+def shapes(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances out of moments (the last axis); zeros without rows."""
+    n = np.maximum(sums[..., :1], 1)
+    mean = sums[..., 1 : P + 1] / n
+    second = np.empty((*sums.shape[:-1], P, P))
+    for k, (i, j) in enumerate(_PAIRS):
+        second[..., i, j] = second[..., j, i] = sums[..., P + 1 + k] / n[..., 0]
+    return mean, second - mean[..., :, None] * mean[..., None, :]
+
+
+def distances(x: np.ndarray, centre: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Squared, of each row from its own centre."""
+    d = x - centre
+    return np.einsum("ni,nij,nj->n", d, inverse, d)
 
 
-def judge(docs: DataFrame, least: int = LEAST, cutoff: float = CUTOFF, counted: str | None = None) -> DataFrame:
-    """The documents with their counts, base_failed, kept and distance (null without an estimate).
+def _swept(vectors: DataFrame, names: Broadcast, made: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Sums (k, value) of what ``made`` (group numbers, vectors) gives for all rows: an array that is flattened to places k, or the places to count.
+
+    A row counts in its own group, in its language's and in that of all rows, as far as these are among the names.
+    """
+    schema = pa.schema([("k", pa.int64()), ("value", pa.float64())])
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        at, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return [(at, np.bincount(back, np.concatenate([x for _, x in parts]), len(at)))]
+
+    def run(batches):
+        held, n = [(np.empty(0, np.int64), np.empty(0))], 0
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, P)
+            groups = []
+            for level in ("own", "lang"):
+                code = batch.column(level).dictionary_encode()
+                groups.append(np.array([names.value.get(v, -1) for v in code.dictionary.to_pylist()], np.int64)[code.indices.to_numpy()])
+            groups.append(np.full(len(x), names.value.get(ALL, -1)))
+            for group in groups:
+                if len(known := np.flatnonzero(group >= 0)):
+                    part = made(group[known], x[known]).ravel()
+                    at = part if part.dtype == np.int64 else np.flatnonzero(part)
+                    held.append((at, np.ones(len(at)) if part.dtype == np.int64 else part[at]))
+                    n += len(at)
+            if n > 1_000_000:
+                held, n = merged(held), 0
+        (at, value), *_ = merged(held)
+        for begin in range(0, len(at), 50_000):
+            yield rows(schema, k=pa.array(at[begin : begin + 50_000]), value=pa.array(value[begin : begin + 50_000]))
+
+    return vectors.mapInArrow(run, "k long, value double").groupBy("k").agg(F.sum("value").alias("value"))
+
+
+def _array(sums: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Sums as an array on the driver; its size is bounded by the groups of a block."""
+    out = np.zeros(int(np.prod(shape)))
+    found = sums.toPandas()
+    out[found["k"].to_numpy(int)] = found["value"].to_numpy(float)
+    return out.reshape(shape)
+
+
+def _quantile(counts: DataFrame, share: float, shape: tuple[int, ...]) -> np.ndarray:
+    """The first bin of each histogram (k: histogram and bin) up to which ``share`` of its rows lie."""
+    own = counts.select(F.floor(F.col("k") / BINS).alias("h"), (F.col("k") % BINS).alias("bin"), "value")
+    before = Window.partitionBy("h").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    reached = own.select("h", "bin", F.sum("value").over(before).alias("s"), F.sum("value").over(Window.partitionBy("h")).alias("t"))  # at most BINS rows
+    return _array(reached.where(F.col("s") >= share * F.col("t") - 1e-6).groupBy(F.col("h").alias("k")).agg(F.min("bin").cast("double").alias("value")), shape).astype(np.int64)
+
+
+def _places(group: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Each column's bin as its place in the groups' histograms."""
+    return (group[:, None] * bins.shape[1] + np.arange(bins.shape[1])) * BINS + bins
+
+
+class Estimate:
+    """The least determinants' centres and covariances of some groups, with their numbers of rows."""
+
+    def __init__(self, vectors: DataFrame, names: list[str], share: float = SHARE, steps: int = STEPS):
+        context = vectors.sparkSession.sparkContext
+        number = context.broadcast({name: i for i, name in enumerate(names)})
+        n = len(names)
+        floors = np.array(FLOORS)
+
+        def sweep(made) -> DataFrame:
+            return _swept(vectors, number, made)
+
+        middle = _quantile(sweep(lambda g, x: _places(g, _value_bin(x))), 0.5, (n, P)) * floors / 32
+        away = _quantile(sweep(lambda g, x: _places(g, _value_bin(np.abs(x - middle[g])))), 0.5, (n, P)) * floors / 32
+        scale = np.maximum(1.4826 * away, floors)
+
+        def begun(g: np.ndarray, x: np.ndarray) -> np.ndarray:
+            z = (x - middle[g]) / scale[g]
+            signs = z / np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+            return np.stack([moments(g, signs, n), moments(g, np.tanh(z), n)], axis=1)
+
+        sums = _array(sweep(begun), (n, 2, MOMENTS))
+        self.rows = sums[:, 0, 0]
+        spread = np.stack([np.broadcast_to(np.eye(P), (n, P, P)), P * shapes(sums)[1][:, 0], shapes(sums)[1][:, 1]], axis=1) + 0.05 * np.eye(P)
+        outer = scale[:, None, :, None] * scale[:, None, None, :]
+        centre, spread = np.repeat(middle[:, None], STARTS, axis=1), spread * outer
+        settled = np.full((n, STARTS), np.inf)
+        for _ in range(steps):
+            inverse = np.linalg.inv(spread)
+
+            def measured(g: np.ndarray, x: np.ndarray, centre=centre, inverse=inverse) -> np.ndarray:
+                return np.stack([_distance_bin(distances(x, centre[g, s], inverse[g, s])) for s in range(STARTS)], axis=1)
+
+            radius = _quantile(sweep(lambda g, x, of=measured: _places(g, of(g, x))), share, (n, STARTS))
+
+            def nearest(g: np.ndarray, x: np.ndarray, of=measured, radius=radius) -> np.ndarray:
+                near = of(g, x) <= radius[g]
+                return np.stack([moments(g[near[:, s]], x[near[:, s]], n) for s in range(STARTS)], axis=1)
+
+            centre, own = shapes(_array(sweep(nearest), (n, STARTS, MOMENTS)))
+            spread = CONSISTENCY * own + np.diag(np.square(floors))
+            value = np.linalg.slogdet(spread)[1]
+            still = np.abs(value - settled) <= 1e-3
+            settled = value
+            if still.all():
+                break
+        best = settled.argmin(axis=1)
+        self.centre, self.spread, self.determinant = centre[np.arange(n), best], spread[np.arange(n), best], settled
+        number.unpersist()
+
+
+def drawn_in(rows_in: np.ndarray, centre: np.ndarray, spread: np.ndarray, wide_centre: np.ndarray, wide_spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates drawn to wider ones, the more the fewer rows they have."""
+    w = rows_in / (rows_in + PRIOR)
+    return w[:, None] * centre + (1 - w)[:, None] * wide_centre, w[:, None, None] * spread + (1 - w)[:, None, None] * wide_spread
+
+
+def blocks(found: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The groups' and their languages' names (own, lang), so many at a time."""
+    held = []
+    for row in found.toLocalIterator():
+        held.append((row.own, row.lang))
+        if len(held) == MOST_GROUPS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def estimates(vectors: DataFrame, found: DataFrame):
+    """Blocks of groups' names with their centres and inverse covariances; vectors: (own, lang, x); found: the groups (own, lang).
+
+    The driver holds the languages' estimates and one block.
+    """
+    wide = Estimate(vectors, [ALL])
+    base, base_spread = drawn_in(wide.rows, wide.centre, wide.spread, wide.centre, np.diag(np.square(3 * np.array(FLOORS))))
+    of_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for part in blocks(found.select("lang", F.col("lang").alias("own")).distinct().orderBy("own")):
+        names = [own for own, _ in part]
+        one = Estimate(vectors, names)
+        of_lang |= dict(zip(names, zip(*drawn_in(one.rows, one.centre, one.spread, base, base_spread), strict=True), strict=True))
+    for part in blocks(found):
+        names = [own for own, _ in part]
+        one = Estimate(vectors, names)
+        wider = [of_lang[lang] for _, lang in part]
+        centre, spread = drawn_in(one.rows, one.centre, one.spread, np.stack([x[0] for x in wider]), np.stack([x[1] for x in wider]))
+        yield names, centre, np.linalg.inv(spread)
+
+
+def _measured_by_join(rows_in: DataFrame, table: DataFrame) -> DataFrame:
+    """Distances of rows (own, x) from their groups' centres, which are there for each salt."""
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"own": "_own", "salt": "_salt"})
+    both = rows_in.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")).join(salted, (F.col("own") == F.col("_own")) & (F.col("salt") == F.col("_salt")), "left")
+    d = [F.col("x")[i] - F.col("centre")[i] for i in range(P)]
+    value = sum((d[i] * d[j] * F.col("inverse")[P * i + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
+    return both.withColumn("distance", value).drop("_own", "_salt", "salt", "centre", "inverse")
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, counted: str | None = None) -> DataFrame:
+    """The documents with their counts, base_failed, kept and distance (null where the base rules failed in all rows of a group).
 
     counted: a column that has the texts' :func:`counts` already. Without it the texts are counted twice, once for the
     estimates and once for the verdict, rather than carried through a shuffle.
     """
+    spark = docs.sparkSession
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x01"))
-    own = F.col(counted) if counted else counts("text")
-    rows_in = docs.select(named("lang").alias("lang"), named("source").alias("source"), own.alias("c"))
-    counted_rows = rows_in if counted else cut(rows_in)
-    vectors = counted_rows.where(~base_failed(F.col("c"))).select("lang", "source", F.array(*statistics(F.col("c"))).alias("x"))
-    vectors = cut(vectors.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")))
-    sizes = cut(vectors.groupBy("lang", "source").count())
-    by_lang = sizes.groupBy("lang").agg(F.sum("count").alias("n"))
-    everything = sizes.agg(F.sum("count")).first()[0] or 0
-    level = F.when(F.col("count") >= least, 0).when(F.col("n") >= least, 1).otherwise(2)
-    sized = sizes.join(by_lang, "lang").select("lang", "source", level.alias("level"))
-    used = [F.when(F.col("level") < 2, F.col("lang")).otherwise(ALL).alias("use_lang"), F.when(F.col("level") < 1, F.col("source")).otherwise(ALL).alias("use_source")]
-    pooled = [
-        vectors,
-        vectors.select("lang", F.lit(ALL).alias("source"), "x", "salt"),
-        vectors.select(F.lit(ALL).alias("lang"), F.lit(ALL).alias("source"), "x", "salt"),
-    ]
-    wanted = cut(sized.select("lang", "source", *used))
-    groups = wanted.select(F.col("use_lang").alias("lang"), F.col("use_source").alias("source")).distinct()
-    rows_of = pooled[0].union(pooled[1]).union(pooled[2])
-    found = estimates(cut(_met(rows_of, groups)))
-    if everything < least:
-        found = found.limit(0)
-    table = wanted.join(found.select(F.col("lang").alias("use_lang"), F.col("source").alias("use_source"), "centre", "inverse"), ["use_lang", "use_source"]).select("lang", "source", "centre", "inverse")
-    table = cut(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    table = table.select(F.struct("lang", "source", "salt").alias("_group"), "centre", "inverse")
-
+    counted_as = F.col(counted) if counted else counts("text")
+    levels = [key(named("lang"), named("source")).alias("own"), key(named("lang")).alias("lang")]
+    made = docs.select(*levels, counted_as.alias("c")).where(~base_failed(F.col("c"))).select("own", "lang", F.array(*statistics(F.col("c"))).alias("x"))
+    vectors = cut(made)
+    vectors = vectors.coalesce(max(1, min(vectors.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)))
+    found = cut(vectors.select("own", "lang").distinct().orderBy("own"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), levels[0], counted_as.alias("c"))
+    whole = whole.withColumn("x", F.array(*statistics(F.col("c"))))
+    n_groups = found.count()
+    if n_groups <= MOST_GROUPS:
+        known = {}
+        for own, centre, inverse in estimates(vectors, found) if n_groups else ():
+            known |= {name: (c, i) for name, c, i in zip(own, centre, inverse, strict=True)}
+        shared = spark.sparkContext.broadcast(known)
+
+        @F.arrow_udf("double")
+        def distance(own: pa.Array, x: pa.Array) -> pa.Array:
+            code = own.dictionary_encode()
+            found = [shared.value.get(v) for v in code.dictionary.to_pylist()]
+            at = code.indices.to_numpy()
+            there = np.array([v is not None for v in found], bool)[at]
+            out = np.full(len(at), np.nan)
+            if there.any():
+                centre, inverse = (np.stack([np.zeros(np.shape(next(v for v in found if v)[k])) if v is None else v[k] for v in found]) for k in (0, 1))
+                out[there] = distances(x.flatten().to_numpy().reshape(-1, P)[there], centre[at[there]], inverse[at[there]])
+            return pa.array(out, mask=~there)
+
+        both = whole.withColumn("distance", distance("own", "x"))
+    else:
+        folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
+        for own, centre, inverse in estimates(vectors, found):
+            part = spark.createDataFrame([(a, b.tolist(), c.ravel().tolist()) for a, b, c in zip(own, centre, inverse, strict=True)], "own string, centre array<double>, inverse array<double>")
+            part.write.mode("append").parquet(folder)
+        both = _measured_by_join(whole, spark.read.parquet(folder))
     keep = [F.col(f"whole.`{c}`") for c in others(docs, RESULT)]
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), named("lang").alias("lang"), named("source").alias("source"), own.alias("c"))
-    whole = whole.withColumn("x", F.array(*statistics(F.col("c")))).withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int"))
-    both = whole.join(table, F.struct("lang", "source", "salt") == F.col("_group"), "left").withColumn("distance", _distance())
     failed = base_failed(F.col("c"))
     return both.select(*keep, *(F.col(f"c.{c}").alias(c) for c in COUNTS), failed.alias("base_failed"), (~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
