@@ -1,7 +1,14 @@
-"""Cleaning as columns. Each step is a regular expression that the JVM runs; only ``html_text`` with Arrow is Python."""
+"""Cleaning as columns. Each step is a regular expression that the JVM runs; only ``html_text`` with Arrow is Python.
+
+All steps take time in proportion to a text's length, however long its words, marks and runs are: expressions begin where
+a run begins, and what may lack an end is sought only before the last one. A step whose literal a text lacks is passed by.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -9,7 +16,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textlake.functions import patterns as P
-from textlake.functions.text import col, collapse, n_words
+from textlake.functions.text import col, collapse, let, n_words, strip
+
+
+def has(c: Column, *literals: str) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(x)) for x in literals))
+
+
+def steps(c: Column, *made: tuple[Callable[[Column], Column] | None, Callable[[Column], Column]]) -> Column:
+    """Steps one after the other, each computed once, and passed by where its condition (None: always) fails."""
+    for condition, step in made:
+        c = let(c, step if condition is None else _passed_by(condition, step))
+    return c
+
+
+def _passed_by(condition: Callable[[Column], Column], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.when(condition(x), step(x)).otherwise(x)
+
+
+def gone(pattern: str, *literals: str):
+    """A step that removes what a pattern finds, in texts that hold one of the literals."""
+    return (lambda x: has(x, *literals)) if literals else None, lambda x: F.regexp_replace(x, pattern, "")
 
 
 def without(c: Column, *found: str) -> Column:
@@ -18,12 +45,48 @@ def without(c: Column, *found: str) -> Column:
     return c
 
 
+def closed(pattern: str, reversed_end: str):
+    """A step that removes what a pattern finds up to the last of its ends (a pattern over the reversed text)."""
+
+    def step(x: Column) -> Column:
+        after = F.regexp_instr(F.reverse(x), F.lit(reversed_end))
+        n = F.when(after > 0, F.length(x) - after + 1).otherwise(0)
+        return F.concat(F.regexp_replace(F.substring(x, F.lit(1), n), pattern, ""), F.substring(x, n + 1, F.length(x)))
+
+    return step
+
+
+def _character(code: Column) -> Column:
+    """The character with a number; the replacement character where there is none."""
+    made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").otherwise(made)
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Named entities and numbers as their characters, each once; what is neither stays."""
+    names = F.create_map(*(F.lit(x) for pair in sorted(P.ENTITIES.items()) for x in pair))
+
+    def one(x: Column) -> Column:
+        name, number, hexed = (F.regexp_extract(x, pattern, 1) for pattern in ("^([A-Za-z][A-Za-z0-9]*);", "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});"))
+        found = F.coalesce(
+            F.try_element_at(names, name),
+            F.when(number != "", _character(number.try_cast("long"))),
+            F.when(hexed != "", _character(F.conv(F.nullif(hexed, F.lit("")), 16, 10).try_cast("long"))),
+        )
+        return F.when(found.isNull(), F.concat(F.lit("&"), x)).otherwise(F.concat(found, F.substr(x, F.instr(x, ";") + 1)))
+
+    return let(F.split(col(c), "&"), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), "")))
+
+
 def html_native(c: Column | str) -> Column:
-    """Markup removed, scripts and styles with their contents, the common entities decoded."""
-    text = without(col(c), P.HTML_COMMENT, P.HTML_DROPPED, P.HTML_TAG)
-    for entity, character in P.ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Markup removed, scripts and styles with their contents, entities decoded."""
+    return steps(
+        col(c),
+        (lambda x: has(x, "<!--"), closed(P.HTML_COMMENT, ">--")),
+        (lambda x: has(x, "</"), closed(P.HTML_DROPPED, P.HTML_DROPPED_END)),
+        (lambda x: has(x, "<"), closed(P.HTML_TAG, ">")),
+        (lambda x: has(x, "&"), decode_entities),
+    )
 
 
 class _Text(HTMLParser):
@@ -61,17 +124,33 @@ def html_arrow(c: Column | str) -> Column:
 
 
 def remove_urls(c: Column | str) -> Column:
-    return without(col(c), P.URL, P.WWW, P.SHORTENER, P.EMAIL)
+    return steps(col(c), gone(P.URL, "http"), gone(P.WWW, "www."), gone(P.SHORTENER, *P.SHORTENERS), gone(P.EMAIL_ANCHORED, "@"))
+
+
+def _wide(x: Column) -> Column:
+    """Whether there are characters beyond ASCII."""
+    return F.octet_length(x) > F.length(x)
 
 
 def remove_special(c: Column | str) -> Column:
     """Emoji and emoticons go, runs of . ! ? become their last, other scripts' characters a space."""
-    text = without(col(c), P.EMOJI, P.EMOTICON)
-    return F.regexp_replace(F.regexp_replace(text, P.PUNCTUATION_RUN, "$1"), P.NON_LATIN, " ")
+    runs = lambda x: F.regexp_replace(x, P.PUNCTUATION_RUN, "$1")
+    latin = lambda x: F.regexp_replace(x, P.NON_LATIN, " ")
+    return steps(col(c), (_wide, gone(P.EMOJI)[1]), gone(P.EMOTICON), (None, runs), (_wide, latin))
 
 
 def normalize(c: Column | str) -> Column:
-    return without(F.regexp_replace(col(c), "\r\n?", "\n"), P.CONTROL)
+    return steps(col(c), (lambda x: has(x, "\r"), lambda x: F.regexp_replace(x, "\r\n?", "\n")), gone(P.CONTROL))
+
+
+def compose(c: Column | str, decode: bool = True) -> Column:
+    """Unicode's composed form (NFC), before it all entities decoded if wanted; in Arrow batches, for what no expression does."""
+    import html
+
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or x.isascii() and "&" not in x else unicodedata.normalize("NFC", html.unescape(x) if decode else x) for x in text.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(c)
 
 
 def collapse_repeats(c: Column | str) -> Column:
@@ -79,14 +158,20 @@ def collapse_repeats(c: Column | str) -> Column:
     return F.regexp_replace(col(c), P.REPEATED, "$1$1")
 
 
+def _boilerplate(x: Column) -> Column:
+    return let(F.lower(x), lambda low: has(low, *P.BOILERPLATE_PHRASES)) | F.rlike(x, F.lit(P.BOILERPLATE_COUNT))
+
+
 def remove_noise(c: Column | str, repeats: bool = True) -> Column:
-    text = without(col(c), P.DELETED, P.POSTED_BY, P.SUBREDDIT, *P.BOILERPLATE)
+    every = lambda x: without(x, *P.BOILERPLATE)
+    text = steps(col(c), gone(P.DELETED, "["), gone(P.POSTED_BY, "Posted by u/"), gone(P.SUBREDDIT, "r/"), (_boilerplate, every))
     return collapse_repeats(text) if repeats else text
 
 
 def normalize_whitespace(c: Column | str) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.translate(col(c), "\t", " "), " +", " "), "\n+", "\n")
-    return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+$", "")
+    spaces = lambda x: F.regexp_replace(x, " +", " ")
+    lines = lambda x: F.regexp_replace(x, "\n+", "\n")
+    return strip(steps(F.replace(col(c), F.lit("\t"), F.lit(" ")), (lambda x: has(x, "  "), spaces), (lambda x: has(x, "\n\n"), lines)))
 
 
 def clean(c: Column | str, repeats: bool = True, html=html_native) -> Column:

@@ -158,5 +158,16 @@ def evaluate(df: DataFrame, text: str = "text", perplexity: str | None = None, g
     }
     rows = rows.select("*", *(v.alias(k) for k, v in made.items()))
     found = F.coalesce(collapse(text), F.lit("")) != ""
-    fresh = [c for c in rows.columns if c not in df.columns]
-    return rows.select(*df.columns, *(F.when(found, F.col(c)).alias(c) for c in fresh))
+    fresh = [c for c in rows.columns if c not in df.columns or c == "grammar_errors"]
+    return rows.select(*(c for c in df.columns if c not in fresh), *(F.when(found, F.col(c)).alias(c) for c in fresh))
+
+
+def log_perplexity(c: Column | str) -> Column:
+    return F.log(col(c))
+
+
+def complexity(df: DataFrame, text: str = "text", grammar_errors: str | None = None) -> DataFrame:
+    """The stand-alone analysis: readability, grammar and sentences of each text; zeros and N/A for empty or null text."""
+    kept = ("reading_ease", "grade_level", "grammar_errors", "grammar_rate", "n_sentences", "avg_len", "var_len", "std_len")
+    rows = evaluate(df, text, grammar_errors=grammar_errors)
+    return rows.select(*df.columns, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in kept), *(F.coalesce(c, F.lit(P.NO_TEXT)).alias(c) for c in ("ease_label", "grade_label", "grammar_label")))

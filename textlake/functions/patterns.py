@@ -1,18 +1,25 @@
 """Regular expressions in a form that Java and RE2 read alike, and the engine's fixed values."""
 
+from html.entities import name2codepoint
+
 # Unicode white space with the separators 1C to 1F, as a class and negated.
 _SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = f"[{_SPACES}]"
 NON_WS = f"[^{_SPACES}]"
+# The same characters as a string.
+WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LETTER = r"\p{L}"
 
-# What cleaning removes, in the order in which it does.
-URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-WWW = r"www\.(?:[a-zA-Z]|[0-9]|[$-_@.&+])+"
+# What cleaning removes, in the order in which it does. The range $ to _ holds digits, capitals and most marks.
+URL = r"https?://[!$-_a-z]+"
+WWW = r"www\.[$-_a-z]+"
+SHORTENERS = ("bit.ly/", "t.co/", "goo.gl/", "tinyurl.com/")
 SHORTENER = rf"\b(?:bit\.ly|t\.co|goo\.gl|tinyurl\.com)/{NON_WS}+"
 EMAIL = rf"{NON_WS}+@{NON_WS}+"
+# The same for Java, which would otherwise try each character of a long run as a start.
+EMAIL_ANCHORED = rf"(?<!{NON_WS}){EMAIL}"
 EMOTICON = r"[:;=8][\-o\*']?[\)\]\(\[dDpP/\:\}\{@\|\\]"
-PUNCTUATION_RUN = r"([!?.]){2,}"
+PUNCTUATION_RUN = r"[!?.]+([!?.])"
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2700}-\x{27BF}\x{1F900}-\x{1F9FF}\x{2600}-\x{26FF}\x{2B00}-\x{2BFF}]+"
 NON_LATIN = r"[^\x00-\x7F\x{C0}-\x{17F}]+"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -29,14 +36,19 @@ BOILERPLATE = (
     "(?i)[0-9]+ shares?",
     "(?i)[0-9]+ comments?",
 )
-REPEATED = r"(.)\1{3,}"
+# What a text must hold for one of these to be found: a phrase in lower case, or a number and a word.
+BOILERPLATE_PHRASES = ("click here to subscribe", "follow us on", "share this:", "like this:", "posted on ")
+BOILERPLATE_COUNT = "[0-9] (?i:like|share|comment)"
+REPEATED = r"(?d)(.)\1{3,}"
 DOCX_SYMBOL = rf"[^\p{{L}}\p{{N}}_{_SPACES}.,;:!?'-]"
 
 # HTML: dropped with their contents, then all other markup.
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_DROPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+# Where the last end of those stands, in the reversed text.
+HTML_DROPPED_END = r"(?i)>\s*(?:tpircs|elyts)/<"
 HTML_TAG = r"(?s)<[/!?]?[A-Za-z][^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 # Where a sentence ends, on text whose white space is collapsed: marks stand in for what must not and what may be split.
 ABBREVIATION_END = r"([\p{L}\p{N}_]\.[\p{L}\p{N}_][.?!]) "

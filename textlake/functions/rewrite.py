@@ -55,6 +55,11 @@ def instruction_rows(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.lit(P.INSTRUCTION).alias("instruction"), F.lit("").alias("input"), F.col(text).alias("output"))
 
 
+def template_rows(df: DataFrame, text: str, order: str, n: int = 10) -> DataFrame:
+    """The first n texts with an empty target, to be filled by hand; n is the feature."""
+    return df.orderBy(order).limit(n).select(F.col(text).alias("original"), F.lit("").alias("humanized"))
+
+
 def synthetic_pairs(df: DataFrame, text: str, key: str, seed: int = 42) -> DataFrame:
     """Paragraphs of more than ten words with their stiff counterpart."""
     parts = df.select(key, F.posexplode(F.split(text, "\n\n")).alias("part", "human_text")).where(n_words("human_text") > 10)

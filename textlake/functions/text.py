@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,7 +26,7 @@ def collapse(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{P.WS}+|{P.WS}+$", "")
+    return F.btrim(col(c), F.lit(P.WS_CHARACTERS))
 
 
 def count(c: Column | str, found: str) -> Column:
@@ -34,18 +35,17 @@ def count(c: Column | str, found: str) -> Column:
     return F.length(F.regexp_replace(marked, "[^\u0001]+", ""))
 
 
-def n_words(c: Column | str) -> Column:
-    return F.length(F.regexp_replace(F.regexp_replace(col(c), f"{P.NON_WS}+", "x"), f"{P.WS}+", ""))
+def words(c: Column | str) -> Column:
+    return F.array_remove(F.split(strip(c), f"{P.WS}+"), "")
 
 
-def words(c: Column | str) -> Column:
-    return F.array_remove(F.split(collapse(c), " "), "")
+def n_words(c: Column | str) -> Column:
+    return F.size(words(c))
 
 
-def first_words(c: Column | str, n: int) -> Column:
+def first_words(c: Column | str, n: int | Column) -> Column:
     """Cut to n words, or else unchanged, white space and all."""
-    own = words(c)
-    return F.when(n_words(c) > n, F.array_join(F.slice(own, 1, n), " ")).otherwise(col(c))
+    return let(words(c), lambda own: F.when(F.size(own) > n, F.array_join(F.slice(own, 1, n), " ")).otherwise(col(c)))
 
 
 def marked_sentences(c: Column | str) -> Column:
@@ -61,6 +61,11 @@ def sentences(c: Column | str) -> Column:
     return F.filter(F.split(marked_sentences(c), "\u0002"), lambda s: s != "")
 
 
+def plain_sentences(c: Column | str, mark: str = ".") -> Column:
+    """Split at each mark, whatever follows it."""
+    return F.split(col(c), re.escape(mark))
+
+
 def sentence_lengths(c: Column | str, unit: str = "words") -> Column:
     if unit not in ("words", "chars"):
         raise ValueError(f"unit is words or chars, not {unit}")
@@ -69,8 +74,7 @@ def sentence_lengths(c: Column | str, unit: str = "words") -> Column:
 
 def unique_ratio(c: Column | str) -> Column:
     """Distinct words (case counts) by words; null without words."""
-    own = words(c)
-    return F.size(F.array_distinct(own)) / F.nullif(F.size(own), F.lit(0))
+    return let(words(c), lambda own: F.size(F.array_distinct(own)) / F.nullif(F.size(own), F.lit(0)))
 
 
 def n_letters(c: Column | str) -> Column:

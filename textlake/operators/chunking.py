@@ -7,9 +7,9 @@ import textwrap
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textlake.functions.text import col, let, sentences, words
+from textlake.operators.ranking import positions
 
 
 def word_chunks(c: Column | str, n: int) -> Column:
@@ -39,10 +39,9 @@ def wrapped(c: Column | str, width: int = 200) -> Column:
 def joined_rows(df: DataFrame, text: str, order: str, k: int, by: tuple[str, ...], keep_rest: bool = False) -> DataFrame:
     """Each k rows in order as one text, within the columns ``by``; the rest, fewer than k, goes unless kept.
 
-    A group holds k rows at most.
+    A group holds k rows at most, and no task all rows of a value of ``by``.
     """
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    grouped = df.withColumn("group_no", F.floor(place / k)).groupBy(*by, "group_no")
+    grouped = positions(df, (order,), by).withColumn("group_no", F.floor(F.col("position") / k)).groupBy(*by, "group_no")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
     made = grouped.agg(F.count("*").alias("n_rows"), joined.alias("text"))
     return made if keep_rest else made.where(F.col("n_rows") == k)

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textlake.operators.ranking import positions
 
 
 def first_wins(df: DataFrame, key: Column, order: str, also: tuple[str, ...] = ()) -> DataFrame:
@@ -63,5 +64,4 @@ def unpivot(df: DataFrame, key: str, **labels: str) -> DataFrame:
 
 def interleave(df: DataFrame, label: str, first: str, order: str) -> DataFrame:
     """The classes in turn: ``position`` is even for one and odd for the other."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1
-    return df.withColumn("position", 2 * rank + F.when(F.col(label) == first, 0).otherwise(1))
+    return positions(df, (order,), (label,)).withColumn("position", 2 * F.col("position") + F.when(F.col(label) == first, 0).otherwise(1))

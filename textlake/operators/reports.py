@@ -94,3 +94,35 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
+
+
+def cleaning(df: DataFrame, reason: str, key: str) -> DataFrame:
+    """One row: processed, valid, removed, removal_rate (percent), duplicates, and the counts by reason.
+
+    reason: why a row is removed, or ``valid``; of valid rows with the same key all but one are duplicates, which are
+    counted beside the reasons.
+    """
+    by_key = df.groupBy(reason, F.when(F.col(reason) == "valid", F.col(key)).alias("_k")).agg(F.count("*").alias("n"))
+    valid = F.col(reason) == "valid"
+    by_reason = by_key.groupBy(reason).agg(F.sum("n").alias("n"), F.sum(F.when(valid, F.col("n") - 1).otherwise(0)).alias("again"))
+    removed = F.when(F.col(reason) != "valid", F.struct(F.col(reason).alias("reason"), "n"))
+    made = by_reason.agg(F.sum("n").alias("processed"), F.sum("again").alias("duplicates"), F.sum(F.when(~valid, F.col("n")).otherwise(0)).alias("rejected"), F.array_sort(F.collect_list(removed)).alias("reasons"))
+    gone = F.col("rejected") + F.col("duplicates")
+    return made.select(F.coalesce("processed", F.lit(0)).alias("processed"), (F.col("processed") - gone).alias("valid"), gone.alias("removed"), F.round(gone / F.nullif("processed", F.lit(0)) * 100, 2).alias("removal_rate"), "duplicates", F.map_from_entries("reasons").alias("by_reason"))
+
+
+def by_split(df: DataFrame, split: str, label: str) -> DataFrame:
+    """Rows of each split and label, and their percentage of the split."""
+    made = df.groupBy(split, label).agg(F.count("*").alias("n"))
+    return made.select(split, label, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(split)) * 100, 2).alias("pct"))
+
+
+def length_profile(df: DataFrame, text: str, when: Column) -> DataFrame:
+    """Mean words and texts under 20 words, by a column such as before and after."""
+    made = df.select(when.alias("when"), n_words(text).alias("w")).groupBy("when").agg(F.count("*").alias("n"), F.sum("w").alias("s"), F.sum((F.col("w") < 20).cast("long")).alias("n_short"))
+    return made.select("when", "n", F.round(F.col("s") / F.col("n"), 4).alias("avg_words"), "n_short")
+
+
+def shown(report: DataFrame, *by: str) -> str:
+    """A report, whose rows are few, as lines of text."""
+    return "\n".join("  ".join(f"{k}: {v}" for k, v in row.asDict().items()) for row in report.orderBy(*by).collect())

@@ -7,29 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textlake.functions.text import rank_hash
-
-#: md5 ranges in which ranks are numbered.
-RANGES = 256
+from textlake.operators.ranking import numbered, positions
 
 
 def ranked(df: DataFrame, key: str, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
     """``rank`` (from 1) by seeded hash, and ``total``, within the columns ``by`` or over all rows."""
     hashed = df.withColumn("_hash", rank_hash(key, seed))
     hashed = hashed.withColumn("_range", F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int"))
-    counts = hashed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    first = counts.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("total"))
-    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", key))
-    numbered = hashed.withColumn("_own", own)
-    same = numbered["_range"] == first["_r"]
-    for i, c in enumerate(by):
-        same = same & numbered[c].eqNullSafe(first[f"_{i}"])
-    made = numbered.join(first, same).withColumn("rank", F.col("_before") + F.col("_own"))
-    return made.select(*df.columns, "rank", "total")
+    return numbered(hashed, "_range", ("_hash", key), by).drop("_hash", "_range")
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
@@ -61,8 +48,12 @@ def balanced(df: DataFrame, label: str, key: str, most: int, seed: int = 42) ->
 
 def head_balanced(df: DataFrame, label: str, order: str, most: int) -> DataFrame:
     """The first ``most`` rows of each label by ``order``."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return df.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    return positions(df, (order,), (label,)).where(F.col("position") < most).drop("position")
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows by chance, in their seeded order; the limit is the feature."""
+    return df.orderBy(rank_hash(key, seed), key).limit(n)
 
 
 def check_ratios(*ratios: float) -> None:

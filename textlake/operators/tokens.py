@@ -21,7 +21,7 @@ def vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int = 512) -> DataFrame:
     """key, input_ids (cut at ``most``), token_length and truncated; texts without words have none. The key is unique."""
     placed = df.select(key, F.size(words(text)).alias("n"), F.posexplode_outer(F.slice(words(text), 1, most)).alias("at", "word"))
-    known = placed.join(vocab.select("word", "token_id"), "word", "left")
+    known = placed.join(F.broadcast(vocab.select("word", "token_id")), "word", "left")  # a vocabulary's size is bounded
     token = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))
     made = known.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), token))).alias("t"))
     ids = F.transform("t", lambda x: x["id"])

@@ -5,8 +5,6 @@ Texts are returned as md5, so that results stay small. Documents are of class hu
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,74 +16,25 @@ from textlake.functions import patterns as P
 from textlake.functions import text as X
 from textlake.operators import bleu, chunking, classifier, compare, dedup, language_model, reports, sampling, tokens
 from textlake.plans import sql as S
+from textlake.plans.registry import CLASSED, TEXT, TURNS, classed, docs, query, scratch, spread, table, text, turns
 from textlake.sources import collect, synthetic
 from textlake.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(text: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if text:
-            SQL[f.__name__] = text
-        return f
-
-    return add
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textlake-")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
-
-def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).withColumn("label", F.when(F.col("doc_id") % 2 == 0, "human").otherwise("ai"))
-
-
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User and assistant turns as classes, with a key."""
-    rows = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.when(F.col("role") == "user", "human").otherwise("ai").alias("label"), "text")
-
-
-CLASSED = "(SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'human' ELSE 'ai' END AS label FROM documents)"
-TURNS = "(SELECT conv_id * 1000 + turn AS id, conv_id, turn, CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS label, text FROM conversations WHERE role IN ('user', 'assistant'))"
-TEXT = "coalesce(text, '')"
-
-
-def text() -> Column:
-    return F.coalesce("text", F.lit(""))
-
 
 # Cleaning and validity
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, {S.clean("text")} AS t FROM documents), r AS (SELECT doc_id, {S.reason("t")} AS reason, md5(t) AS h FROM c),
+    f"""WITH {S.clean_ctes("documents", "doc_id", "text")}, r AS (SELECT doc_id, {S.reason("t")} AS reason, md5(t) AS h FROM cleaned),
     d AS (SELECT *, row_number() OVER (PARTITION BY reason = 'valid', h ORDER BY doc_id) AS k FROM r)
     SELECT CASE WHEN reason = 'valid' AND k > 1 THEN 'duplicate' ELSE reason END AS reason, count(*) AS n FROM d GROUP BY 1"""
 )
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned and judged: how many are valid, repeat a valid one, or fail a rule."""
-    rows = docs(spark, sf_dir).select("doc_id", cleaning.clean("text", repeats=False).alias("t"))
-    rows = rows.select("doc_id", validity.reason("t").alias("reason"), X.hash_exact("t").alias("h"))
-    by_text = rows.groupBy("reason", "h").agg(F.count("*").alias("n"))
-    valid = F.col("reason") == "valid"
-    made = by_text.groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("kept"))
-    split = F.when(valid, F.array(F.struct(F.lit("valid").alias("reason"), F.col("kept").alias("n")), F.struct(F.lit("duplicate").alias("reason"), (F.col("n") - F.col("kept")).alias("n"))))
-    return made.select(F.inline(split.otherwise(F.array(F.struct("reason", "n"))))).where("n > 0")
+    rows = docs(spark, sf_dir).select(cleaning.clean("text").alias("t")).select(validity.reason("t").alias("reason"), X.hash_exact("t").alias("h"))
+    made = reports.cleaning(rows, "reason", "h")
+    counts = F.map_concat("by_reason", F.create_map(F.lit("valid"), F.col("valid"), F.lit("duplicate"), F.col("duplicates")))
+    return made.select(F.explode(counts).alias("reason", "n")).where("n > 0")
 
 
 @query(f"SELECT doc_id, {S.reason('t')} AS reason FROM (SELECT doc_id, {TEXT} AS t FROM documents)")
@@ -133,30 +82,35 @@ def doc_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", *(v.cast("long").alias(k) for k, v in made.items()))
 
 
-def _changed(name: str, step: Callable[[Column], Column], sql_step: Callable[[str], str] | None, source: str = "documents", key: str = "doc_id", column: str = "text") -> None:
-    """A query for one cleaning step: each text's hash and length after it."""
+def _step(name: str, step: Callable[[Column], Column], source: str = "documents", key: str = "doc_id", column: str = "text"):
+    """A query function for one cleaning step: each text's hash and length after it."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = table(spark, sf_dir, source).select(key, step(F.coalesce(column, F.lit(""))).alias("t"))
+        made = spread(table(spark, sf_dir, source)).select(key, step(F.coalesce(column, F.lit(""))).alias("t"))
         return made.select(key, F.md5("t").alias("h"), F.length("t").cast("long").alias("n"))
 
     run.__name__ = name
-    query(f"SELECT {key}, md5(t) AS h, CAST(length(t) AS BIGINT) AS n FROM (SELECT {key}, {sql_step(f"coalesce({column}, '')")} AS t FROM {source})" if sql_step else None)(run)
+    return run
+
+
+def _changed(name: str, step: Callable[[Column], Column], sql_step: Callable[[str], str] | None, source: str = "documents", key: str = "doc_id", column: str = "text") -> None:
+    """The same, with the SQL of a step that is an expression there."""
+    query(f"SELECT {key}, md5(t) AS h, CAST(length(t) AS BIGINT) AS n FROM (SELECT {key}, {sql_step(f"coalesce({column}, '')")} AS t FROM {source})" if sql_step else None)(_step(name, step, source, key, column))
 
 
 _changed("url_email_removal", cleaning.remove_urls, S.urls)
 _changed("special_chars", cleaning.remove_special, S.special)
 _changed("encoding_normalize", cleaning.normalize, S.normalize)
+_changed("compose", lambda c: cleaning.compose(c, decode=False), lambda x: f"nfc_normalize({x})")
 _changed("noise_removal", lambda c: cleaning.remove_noise(c, repeats=False), S.noise)
-_changed("repeat_collapse", cleaning.collapse_repeats, None)
 _changed("whitespace_normalize", cleaning.normalize_whitespace, S.whitespace)
 _changed("whitespace_collapse", X.collapse, S.collapse)
-_changed("clean_text", lambda c: cleaning.clean(c, repeats=False), S.clean)
-_changed("clean_text_full", cleaning.clean, None)
 _changed("clean_collected", cleaning.clean_collected, lambda x: f"trim({S.sub(S.collapse(x), '^(?:' + '|'.join(P.ASSISTANT_PREFIXES) + ')')})")
 _changed("truncate_100_words", lambda c: X.first_words(c, 100), lambda x: f"CASE WHEN {S.n_words(x)} > 100 THEN array_to_string(({S.words(x)})[1:100], ' ') ELSE {x} END")
+query(f"WITH {S.repeats_ctes('(SELECT doc_id, ' + TEXT + ' AS text FROM documents)', 'doc_id', 'text', 'made')} SELECT doc_id, md5(t) AS h, CAST(length(t) AS BIGINT) AS n FROM made")(_step("repeat_collapse", cleaning.collapse_repeats))
+query(f"WITH {S.clean_ctes('documents', 'doc_id', 'text')} SELECT doc_id, md5(t) AS h, CAST(length(t) AS BIGINT) AS n FROM cleaned")(_step("clean_text", cleaning.clean))
 _changed("html_text_native", cleaning.html_native, S.html, "pages", "page_id", "html")
-_changed("html_text_arrow", cleaning.html_arrow, None, "pages", "page_id", "html")
+_changed("html_text_arrow", cleaning.html_arrow, S.html, "pages", "page_id", "html")
 
 
 @query(f"SELECT doc_id, part, md5(p) AS h FROM (SELECT doc_id, unnest(range(len(l))) AS part, unnest(l) AS p FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS l FROM documents)) WHERE upper(p) SIMILAR TO '.*({'|'.join(P.BOOK_NOISE)}).*' OR (upper(p) = p AND lower(p) <> p AND length(p) < 60) OR length(p) < 50")
@@ -447,11 +401,6 @@ def compare_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(spark, sf_dir).select("pair", "overall_improvement", "success")
 
 
-@query()
-def compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir).select("pair", F.map_entries("improvements").alias("improvements"), F.map_entries("degradations").alias("degradations"), "summary")
-
-
 _PAIRS = f"(SELECT a.id AS pair, a.text AS before, z.text AS after FROM {TURNS} a JOIN {TURNS} z ON z.id = a.id + 1 AND a.label = 'human' AND z.label = 'ai')"
 
 
@@ -642,22 +591,12 @@ def rule_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(rewrite.humanize("text", "doc_id")).alias("h"))
 
 
-@query()
-def augment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.augment(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id").select("doc_id", F.md5("augmented").alias("h"))
-
-
 @query(f"SELECT doc_id, part, md5({_robot_sql('p', 'k')}) AS ai, md5(p) AS human FROM (SELECT doc_id, part, p, doc_id || ':' || part AS k FROM (SELECT doc_id, unnest(range(len(l))) AS part, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents)) WHERE {S.n_words('p')} > 10)")
 def synthetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = rewrite.synthetic_pairs(docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
     return made.select("doc_id", F.col("part").cast("long").alias("part"), F.md5("ai_text").alias("ai"), F.md5("human_text").alias("human"))
 
 
-@query()
-def synthetic_essays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.essays(spark, docs(spark, sf_dir).count())
-
-
 _VARIANTS = f"""SELECT DISTINCT unnest(list_filter([t, CASE WHEN o THEN t || '.' END, CASE WHEN o THEN t || '!' END, lower(t), upper(substr(t, 1, 1)) || lower(substr(t, 2)),
     {", ".join(f"CASE WHEN w < 10 THEN {S.q(x)} || lower(t) END" for x in P.FILLER_PREFIXES)}, {", ".join(f"CASE WHEN w < 10 THEN t || {S.q(x)} END" for x in P.FILLER_SUFFIXES)}], lambda x: x IS NOT NULL)) AS v
     FROM (SELECT t, right(t, 1) NOT IN ('.', '!', '?') AS o, {S.n_words("t")} AS w FROM (SELECT unnest({S.sentences(TEXT)}) AS t FROM documents) WHERE {S.n_words("t")} <= 12)"""
@@ -728,13 +667,6 @@ def encode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"), F.col("token_length").cast("long").alias("token_length"), "truncated")
 
 
-@query()
-def padded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = worded(spark, sf_dir)
-    made = tokens.encode(rows, "id", "text", tokens.vocabulary(rows, "text", 2000), 64)
-    return made.select("id", tokens.padded("input_ids", 64).alias("input_ids"), tokens.mask("input_ids", 64).alias("attention_mask"))
-
-
 @query(
     f"""WITH n AS (SELECT least({S.n_words("lower(text)")}, 64) AS n FROM {TURNS})
     SELECT count(*) AS total, count(*) FILTER (n > 0) AS processed, count(*) FILTER (n = 0) AS failed, count(*) FILTER (n >= 64) AS truncated, round(avg(n) FILTER (n > 0), 4) AS avg_length, CAST(max(n) FILTER (n > 0) AS BIGINT) AS max_length, CAST(min(n) FILTER (n > 0) AS BIGINT) AS min_length FROM n"""
@@ -751,16 +683,10 @@ def token_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select("id", "text")
-    made = language_model.perplexity(rows, "id", "text", language_model.train(rows, "id", "text"), first_tokens=1_000_000)
+    made = language_model.perplexity(rows, "id", "text", language_model.train(rows, "id", "text"), first_tokens=None)
     return made.where("n_tokens > 0")
 
 
-@query()
-def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).select("id", "text")
-    return language_model.perplexity(rows, "id", "text", language_model.train(rows, "id", "text"), bigram_weight=0.5)
-
-
 @query()
 def classifier_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents split, a quality classifier fitted on the train part, judged on the rest."""
@@ -791,7 +717,7 @@ def source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a file stream, filtered and deduplicated with state, written exactly once, read again."""
     schema = docs(spark, sf_dir).schema
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     stream = ingest.accepted_once(ingest.read(spark, f"{sf_dir}/documents.parque[t]", schema))
     ingest.to_parquet(stream.select("hash"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema("hash string").parquet(f"{folder}/out")

@@ -48,10 +48,15 @@ def sentences(x: str) -> str:
     return f"list_filter(string_split({x}, chr(2)), lambda s: s <> '')"
 
 
+#: Entities that the tables hold; SQL has one pass for each.
+SHOWN = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot")
+
+
 def html(x: str) -> str:
     x = without(x, P.HTML_COMMENT, P.HTML_DROPPED, P.HTML_TAG)
-    for entity, character in P.ENTITIES:
-        x = f"replace({x}, {q(entity)}, {q(character)})"
+    for name, character in sorted(P.ENTITIES.items(), key=lambda e: (e[0] == "amp", e[0])):  # the ampersand last
+        if name in SHOWN:
+            x = f"replace({x}, '&{name};', {q(character)})"
     return x
 
 
@@ -80,6 +85,21 @@ def clean(x: str) -> str:
     return whitespace(noise(normalize(special(urls(html(f"coalesce({x}, '')"))))))
 
 
+def repeats_ctes(source: str, key: str, column: str, out: str) -> str:
+    """CTEs up to ``out`` (key, t), in which runs of four or more of a character are two of them: by the lengths of the runs."""
+    return f"""{out}_c AS (SELECT {key}, unnest(range(len(a))) AS i, unnest(a) AS c FROM (SELECT {key}, regexp_extract_all({column}, '(?s).') AS a FROM {source})),
+    {out}_g AS (SELECT *, i - row_number() OVER (PARTITION BY {key}, c ORDER BY i) AS g FROM {out}_c),
+    {out}_n AS (SELECT *, count(*) OVER (PARTITION BY {key}, c, g) AS n, row_number() OVER (PARTITION BY {key}, c, g ORDER BY i) AS k FROM {out}_g),
+    {out}_j AS (SELECT {key}, string_agg(c, '' ORDER BY i) AS t FROM {out}_n WHERE n < 4 OR k <= 2 OR c = chr(10) GROUP BY {key}),
+    {out} AS (SELECT x.{key}, coalesce(j.t, '') AS t FROM {source} x LEFT JOIN {out}_j j USING ({key}))"""
+
+
+def clean_ctes(source: str, key: str, column: str, out: str = "cleaned") -> str:
+    """CTEs up to ``out`` (key, t): all cleaning steps, with that for repeated characters."""
+    first = noise(normalize(special(urls(html(f"coalesce({column}, '')")))))
+    return f"""{out}_a AS (SELECT {key}, {first} AS t FROM {source}), {repeats_ctes(f'{out}_a', key, 't', f'{out}_r')}, {out} AS (SELECT {key}, {whitespace('t')} AS t FROM {out}_r)"""
+
+
 def reason(x: str) -> str:
     """The first rule that fails, over a column x that isn't null."""
     solid = f"length(replace({x}, ' ', ''))"
@@ -89,10 +109,15 @@ def reason(x: str) -> str:
         WHEN {n_words(x)} > 10 AND len(list_distinct({words(x)})) / {n_words(x)} < 0.3 THEN 'repetitive' ELSE 'valid' END"""
 
 
-def accepted(x: str, least: int = 15, most: int = 10_000, unique: float = 0.25, alpha: float = 0.7) -> str:
-    return f"""(length({strip(x)}) >= 50 AND {n_words(x)} BETWEEN {least} AND {most}
-        AND coalesce(len(list_distinct({words(x)})) / nullif({n_words(x)}, 0), 0) >= {unique}
-        AND coalesce(({count(x, P.LETTER)} + {count(x, P.WS)}) / nullif(length({x}), 0), 0) >= {alpha})"""
+def accepted(x: str, least: int = 15, most: int = 10_000, unique: float = 0.25, alpha: float = 0.7, chars: int = 50, ends: bool = False) -> str:
+    made = [f"length({strip(x)}) >= {chars}", f"{n_words(x)} BETWEEN {least} AND {most}"]
+    if unique:
+        made.append(f"coalesce(len(list_distinct({words(x)})) / nullif({n_words(x)}, 0), 0) >= {unique}")
+    if alpha:
+        made.append(f"coalesce(({count(x, P.LETTER)} + {count(x, P.WS)}) / nullif(length({x}), 0), 0) >= {alpha}")
+    if ends:
+        made.append(f"right({x}, 1) IN ('.', '!', '?')")
+    return f"({' AND '.join(made)})"
 
 
 def rounded(x: str, digits: int) -> str:

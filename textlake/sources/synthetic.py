@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import patterns as P
-from textlake.functions.text import capitalize, n_words
+from textlake.functions.text import capitalize, hash_prefix, lower_first, n_words
+from textlake.functions.validity import accepted
+from textlake.operators.dedup import first_wins
 
 TOPICS = ("remote work", "public transport", "school gardens", "solar power", "city parks", "reading habits", "water use", "local news")
 OPENINGS = ("In recent years, {} has become a subject of wide interest.", "{} shapes daily life in more ways than one may think.", "There are several reasons to look closely at {}.")
@@ -16,21 +18,31 @@ MIDDLES = ("Supporters of {} point to lower costs and steadier results.", "Criti
 ENDINGS = ("In conclusion, {} deserves careful and continued study.", "Overall, {} will remain important for years to come.")
 
 
+TRANSITIONS = ("Moreover, ", "At the same time, ", "By contrast, ", "For example, ", "In practice, ")
+
+
 def pick(values: tuple[str, ...], *key: Column) -> Column:
-    """One of the values, by hash."""
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(*key), F.lit(len(values))) + 1).cast("int"))
+    """One of the values, by md5 of the key."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *(k.cast("string") for k in key))), 1, 7), 16, 10).cast("int")
+    return F.element_at(F.array(*map(F.lit, values)), number % len(values) + 1)
 
 
 def essays(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n essays: an opening, two to five middles and an ending about a topic."""
+    """n essays: an opening, two to five paragraphs with a transition each, and an ending about a topic."""
     rows = spark.range(n).withColumn("topic", pick(TOPICS, F.col("id"), F.lit(seed)))
-    count = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(4)) + 2
-    middles = F.transform(F.sequence(F.lit(1), count), lambda i: pick(MIDDLES, F.col("id"), F.lit(seed + 2), i))
+    count = pick(("2", "3", "4", "5"), F.col("id"), F.lit(seed + 1)).cast("int")
+    paragraph = lambda i: F.concat(pick(TRANSITIONS, F.col("id"), F.lit(seed + 5), i), lower_first(pick(MIDDLES, F.col("id"), F.lit(seed + 2), i)))
+    middles = F.transform(F.sequence(F.lit(1), count), paragraph)
     body = F.array_join(F.concat(F.array(pick(OPENINGS, F.col("id"), F.lit(seed + 3))), middles, F.array(pick(ENDINGS, F.col("id"), F.lit(seed + 4)))), "\n\n")
     text = F.replace(body, F.lit("{}"), F.col("topic"))
     return rows.select("id", text.alias("text"), F.lit("ai").alias("label"), F.lit("synthetic").alias("source"))
 
 
+def new_essays(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """Of n essays those that the collectors' filter accepts, each text once."""
+    return first_wins(essays(spark, n, seed).where(accepted("text")), hash_prefix("text"), "id")
+
+
 def short_sentences(spark: SparkSession, templates: tuple[str, ...], slots: dict[str, tuple[str, ...]], n: int, seed: int = 42) -> DataFrame:
     """Distinct sentences of n draws of a template and a value for each of its slots."""
     rows = spark.range(n)
