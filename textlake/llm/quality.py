@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm._common import Words, cut, in_chunks, mixed, others, raw, rows
+from textlake.llm._common import Words, chunks, cut, in_chunks, lists, mixed, others, raw, rows
 from textlake.operators.lineage import shared_folder
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,11 +116,13 @@ def counts(text: str) -> Column:
     return F.arrow_udf(_counts, STRUCT)(text)
 
 
-def base_failed(c: Column) -> Column:
+def base_failed(c):
+    """Of counts as columns or as arrays."""
     return (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
 
 
-def statistics(c: Column) -> list[Column]:
+def statistics(c, log=F.log) -> list:
+    """The vector out of counts as columns, or as arrays."""
     words = c["n_words"] + 20
     return [
         c["n_symbols"] / words,
@@ -128,7 +130,7 @@ def statistics(c: Column) -> list[Column]:
         c["n_repeat_words"] / words,
         c["n_dup_lines"] / (c["n_lines"] + 5),
         c["n_capitals"] / (c["n_letters"] + 100),
-        F.log((c["word_chars"] + 600) / (c["n_words"] + 100)),
+        log((c["word_chars"] + 600) / (c["n_words"] + 100)),
         c["n_echoes"] / words,
     ]
 
@@ -328,6 +330,37 @@ def _measured_by_join(rows_in: DataFrame, table: DataFrame) -> DataFrame:
     return both.withColumn("distance", value).drop("_own", "_salt", "salt", "centre", "inverse")
 
 
+def _vectors(batches):
+    """The vectors (own, lang, x) of texts that pass the base rules."""
+    schema = pa.schema([("own", pa.string()), ("lang", pa.string()), ("x", pa.list_(pa.float64()))])
+    for chunk in chunks(batches):
+        made = count(raw(chunk))
+        passed = np.flatnonzero(~base_failed(made))
+        x = np.stack(statistics(made, np.log), axis=1)[passed]
+        yield rows(schema, own=chunk.column("own").take(pa.array(passed)), lang=chunk.column("lang").take(pa.array(passed)), x=lists(x.ravel(), [P] * len(passed), pa.float64()))
+
+
+def _apart(known: dict, own: pa.Array, x: np.ndarray) -> pa.Array:
+    """Squared distances of vectors from their groups' centres; null for groups without an estimate."""
+    code = own.dictionary_encode()
+    found = [known.get(v) for v in code.dictionary.to_pylist()]
+    at = code.indices.to_numpy()
+    there = np.array([v is not None for v in found], bool)[at]
+    out = np.full(len(at), np.nan)
+    if there.any():
+        centre, inverse = (np.stack([np.zeros((P,) * (k + 1)) if v is None else v[k] for v in found]) for k in (0, 1))
+        out[there] = distances(x[there], centre[at[there]], inverse[at[there]])
+    return pa.array(out, mask=~there)
+
+
+def _judged(known: dict, chunk: pa.RecordBatch) -> pa.Array:
+    """All counts of a chunk's texts and their distances."""
+    made = count(raw(chunk))
+    x = np.stack(statistics(made, np.log), axis=1) if chunk.num_rows else np.empty((0, P))
+    columns = [pa.array(made[c], pa.int64()) for c in (*COUNTS, *MORE)]
+    return pa.StructArray.from_arrays([*columns, _apart(known, chunk.column(1), x)], [*COUNTS, *MORE, "distance"])
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF, counted: str | None = None) -> DataFrame:
     """The documents with their counts, base_failed, kept and distance (null where the base rules failed in all rows of a group).
 
@@ -336,40 +369,34 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, counted: str | None = None) -
     """
     spark = docs.sparkSession
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x01"))
-    counted_as = F.col(counted) if counted else counts("text")
     levels = [key(named("lang"), named("source")).alias("own"), key(named("lang")).alias("lang")]
-    made = docs.select(*levels, counted_as.alias("c")).where(~base_failed(F.col("c"))).select("own", "lang", F.array(*statistics(F.col("c"))).alias("x"))
-    vectors = cut(made)
+    if counted:
+        passed = docs.select(*levels, F.col(counted).alias("c")).where(~base_failed(F.col("c")))
+        vectors = cut(passed.select("own", "lang", F.array(*statistics(F.col("c"))).alias("x")))
+    else:
+        vectors = cut(docs.select(*levels, "text").mapInArrow(_vectors, "own string, lang string, x array<double>"))
     vectors = vectors.coalesce(max(1, min(vectors.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)))
     found = cut(vectors.select("own", "lang").distinct().orderBy("own"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), levels[0], counted_as.alias("c"))
-    whole = whole.withColumn("x", F.array(*statistics(F.col("c"))))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), levels[0])
     n_groups = found.count()
     if n_groups <= MOST_GROUPS:
         known = {}
         for own, centre, inverse in estimates(vectors, found) if n_groups else ():
             known |= {name: (c, i) for name, c, i in zip(own, centre, inverse, strict=True)}
         shared = spark.sparkContext.broadcast(known)
-
-        @F.arrow_udf("double")
-        def distance(own: pa.Array, x: pa.Array) -> pa.Array:
-            code = own.dictionary_encode()
-            found = [shared.value.get(v) for v in code.dictionary.to_pylist()]
-            at = code.indices.to_numpy()
-            there = np.array([v is not None for v in found], bool)[at]
-            out = np.full(len(at), np.nan)
-            if there.any():
-                centre, inverse = (np.stack([np.zeros(np.shape(next(v for v in found if v)[k])) if v is None else v[k] for v in found]) for k in (0, 1))
-                out[there] = distances(x.flatten().to_numpy().reshape(-1, P)[there], centre[at[there]], inverse[at[there]])
-            return pa.array(out, mask=~there)
-
-        both = whole.withColumn("distance", distance("own", "x"))
+        if counted:
+            x = F.array(*statistics(F.col(f"whole.`{counted}`")))
+            both = whole.select("whole", F.col(f"whole.`{counted}`").alias("c"), F.arrow_udf(lambda own, x: _apart(shared.value, own, x.flatten().to_numpy().reshape(-1, P)), "double")("own", x).alias("distance"))
+        else:  # texts are counted and judged at once, so that a task needs one worker
+            both = whole.select("whole", F.arrow_udf(lambda text, own: in_chunks(lambda chunk: _judged(shared.value, chunk), text, own), f"{STRUCT[:-1]},distance:double>")("whole.text", "own").alias("c"))
+            both = both.select("whole", "c", "c.distance")
     else:
         folder = f"{shared_folder(spark)}/quality-{uuid.uuid4().hex}"
         for own, centre, inverse in estimates(vectors, found):
             part = spark.createDataFrame([(a, b.tolist(), c.ravel().tolist()) for a, b, c in zip(own, centre, inverse, strict=True)], "own string, centre array<double>, inverse array<double>")
             part.write.mode("append").parquet(folder)
-        both = _measured_by_join(whole, spark.read.parquet(folder))
+        both = whole.withColumn("c", F.col(f"whole.`{counted}`") if counted else counts("whole.text"))
+        both = _measured_by_join(both.withColumn("x", F.array(*statistics(F.col("c")))), spark.read.parquet(folder))
     keep = [F.col(f"whole.`{c}`") for c in others(docs, RESULT)]
     failed = base_failed(F.col("c"))
     return both.select(*keep, *(F.col(f"c.{c}").alias(c) for c in COUNTS), failed.alias("base_failed"), (~failed & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
