@@ -283,42 +283,41 @@ class Estimate:
         number.unpersist()
 
 
-def drawn_in(rows_in: np.ndarray, centre: np.ndarray, spread: np.ndarray, wide_centre: np.ndarray, wide_spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates drawn to wider ones, the more the fewer rows they have."""
-    w = rows_in / (rows_in + PRIOR)
-    return w[:, None] * centre + (1 - w)[:, None] * wide_centre, w[:, None, None] * spread + (1 - w)[:, None, None] * wide_spread
-
-
 def blocks(found: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The groups' and their languages' names (own, lang), so many at a time."""
-    held = []
-    for row in found.toLocalIterator():
-        held.append((row.own, row.lang))
-        if len(held) == MOST_GROUPS:
-            yield held
-            held = []
+    """The names of all rows, of the languages and of the groups, each with that of the next wider estimate, so many at a time."""
+    langs = found.select("lang").distinct().orderBy("lang")
+    held = [(ALL, "")]
+    for rows_in in (((r.lang, ALL) for r in langs.toLocalIterator()), ((r.own, r.lang) for r in found.toLocalIterator())):
+        for one in rows_in:
+            held.append(one)
+            if len(held) >= MOST_GROUPS:
+                yield held
+                held = []
     if held:
         yield held
 
 
 def estimates(vectors: DataFrame, found: DataFrame):
-    """Blocks of groups' names with their centres and inverse covariances; vectors: (own, lang, x); found: the groups (own, lang).
+    """Blocks of groups' names with their centres and inverse covariances; vectors: (own, lang, x); found: the groups (own, lang), in order.
 
     The driver holds the languages' estimates and one block.
     """
-    wide = Estimate(vectors, [ALL])
-    base, base_spread = drawn_in(wide.rows, wide.centre, wide.spread, wide.centre, np.diag(np.square(3 * np.array(FLOORS))))
-    of_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for part in blocks(found.select("lang", F.col("lang").alias("own")).distinct().orderBy("own")):
-        names = [own for own, _ in part]
-        one = Estimate(vectors, names)
-        of_lang |= dict(zip(names, zip(*drawn_in(one.rows, one.centre, one.spread, base, base_spread), strict=True), strict=True))
+    wider = {"": (np.zeros(P), np.diag(np.square(3 * np.array(FLOORS))))}
     for part in blocks(found):
-        names = [own for own, _ in part]
-        one = Estimate(vectors, names)
-        wider = [of_lang[lang] for _, lang in part]
-        centre, spread = drawn_in(one.rows, one.centre, one.spread, np.stack([x[0] for x in wider]), np.stack([x[1] for x in wider]))
-        yield names, centre, np.linalg.inv(spread)
+        one = Estimate(vectors, [name for name, _ in part])
+        names, centres, spreads = [], [], []
+        for (name, wide), n, centre, spread in zip(part, one.rows, one.centre, one.spread, strict=True):
+            w = n / (n + PRIOR)
+            base = wider[wide]
+            drawn = (w * centre + (1 - w) * (base[0] if wide else centre), w * spread + (1 - w) * base[1])
+            if "\x00" in name and name != ALL:
+                names.append(name)
+                centres.append(drawn[0])
+                spreads.append(drawn[1])
+            else:  # a language's, or that of all rows
+                wider[name] = drawn
+        if names:
+            yield names, np.stack(centres), np.linalg.inv(np.stack(spreads))
 
 
 def _measured_by_join(rows_in: DataFrame, table: DataFrame) -> DataFrame:
