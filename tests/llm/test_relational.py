@@ -28,8 +28,9 @@ def test_lines(plain, plain_docs):
         kept = [x for x, k in zip((t or "").split("\n"), keys(t), strict=True) if len(held[k]) < 3 or i == max(held[k])]
         n = len((t or "").split("\n"))
         want[i] = (n, n - len(kept), "\n".join(kept))
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.drop_repeated_lines(plain_docs).collect()}
-    assert got == want
+    for most in (lines.MOST_KEYS, 0):  # with the keys broadcast, and joined
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.drop_repeated_lines(plain_docs, most_keys=most).collect()}
+        assert got == want
     assert sum(x[1] for x in want.values()) > 6
 
 
@@ -39,6 +40,30 @@ def test_lines_with_odd_rows(docs, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
+def test_rows_with_one_id_are_one_document(spark):
+    line = "this is a line of more than twenty points"
+    rows = [(1, line), (1, line), (1, f"{line}\nx"), (2, line), (None, line), (None, line)]
+    for most in (lines.MOST_KEYS, 0):
+        made = lines.drop_repeated_lines(spark.createDataFrame(rows[:4], "doc_id long, text string").repartition(2), most_keys=most).collect()
+        assert sum(r.n_dropped for r in made) == 0
+        made = lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), most_keys=most).collect()
+        assert {(r.doc_id, r.n_dropped) for r in made} == {(1, 1), (2, 0), (None, 1)}
+
+
+def test_filters_lose_no_repeat():
+    """An owner's rows: each hash that is there twice is a suspect, whatever batches it is in."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    h = draw.integers(-(2**62), 2**62, 30_000)
+    h[20_000:25_000] = h[:5000]
+    kind = np.zeros(len(h), np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 7000]) for x in (h, h ^ 5, np.arange(len(h)), kind)], ["h1", "h2", "doc_id", "kind"]) for i in range(0, len(h), 7000)]
+    found = pa.Table.from_batches(lines._suspects(iter(batches))).column("doc_id").to_pylist()
+    assert {*range(5000), *range(20_000, 25_000)} <= {*found} and len(found) < 10_500
+
+
 def shingle_set(text):
     words = WORD.findall(low(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -283,9 +308,48 @@ def test_shards(docs, empty):
     assert shards.shard(empty).count() == 0
 
 
-def test_schedule():
-    placed = shards.schedule([(5, ("a",)), (4, ("b",)), (3, ("c",)), (3, ("d",)), (3, ("e",))], 2)
-    assert placed == {("a",): 0, ("b",): 1, ("c",): 1, ("d",): 0, ("e",): 1}
+def plain_lpt(sizes, n_shards):
+    """The schedule by definition: each group to the shard with the least load."""
+    load = [0] * n_shards
+    for size in sorted(sizes, reverse=True):
+        load[load.index(min(load))] += size
+    return load
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_loads_are_as_even_as_the_plain_schedule(spark, seed):
+    """Groups of very uneven sizes, some of many copies: loads are within a 50th of a share of those of plain scheduling."""
+    import random
+
+    draw = random.Random(seed)
+    items = []
+    for k in range(3000):
+        text = f"t{k} " + "x" * int(draw.paretovariate(0.9) * 20 % 20_000)
+        items += [text] * (draw.choice([1, 1, 1, 2, 5, 40]) if k % 50 else 300)
+    df = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string").repartition(4)
+    made = shards.shard(df, n_shards=8).collect()
+    load, groups = [0] * 8, defaultdict(int)
+    for r in made:
+        load[r.shard] += r["size"]
+        groups[r.text] += r["size"]
+    want = plain_lpt(groups.values(), 8)
+    share = sum(load) / 8
+    assert max(load) - max(want) <= share / 50 and min(want) - min(load) <= share / 50
+    assert max(load) <= 4 / 3 * max(share, max(groups.values())) + share / 50
+
+
+def test_schedule_by_brute_force():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(50):
+        sizes = [(draw.randint(1, 40), (i,)) for i in range(draw.randint(1, 60))]
+        n = draw.randint(1, 7)
+        placed = shards.schedule(sizes, n)
+        load = [0] * n
+        for size, key in sizes:
+            load[placed[key]] += size
+        assert sorted(load) == sorted(plain_lpt([s for s, _ in sizes], n))
 
 
 def test_digest_of_kept_lines():
