@@ -1,14 +1,17 @@
 """Language ID: per-language unigram piece probabilities over a fixed public vocabulary, summed over all segmentations.
 
-A word (cut at ASCII white space, A-Z lower-cased, with a leading space, in parts of at most 32 bytes) is any sequence of
-vocabulary pieces. Its probability in a language is the sum over all segmentations of the product of piece probabilities,
-by the forward algorithm; a text's log-likelihood is the sum over its words. The vocabulary holds every byte, so each word
-has a segmentation.
+A word (cut at ASCII white space, A-Z lower-cased, with a leading space) is any sequence of vocabulary pieces. Its
+probability in a language is the sum over all segmentations of the product of piece probabilities, by the forward
+algorithm; a text's log-likelihood is the sum over its words. The vocabulary holds every byte, so each word has a
+segmentation. A word of more than ``PART`` bytes (a run without white space) is scored in parts that end between
+characters and, but for the first, have no leading space; segmentations across these ends, and vocabulary pieces of more
+than ``PART`` bytes, aren't summed.
 
 Training is one expectation step from equal piece probabilities, by forward and backward sums over all rows that may be
 learned from: expected piece counts, weighted by the languages' word counts, aggregated as (language, piece) rows. The
-model is smoothed and has as many numbers as there are pieces and languages. Workers handle each distinct word of a chunk
-once, all words of a length together.
+model is mixed with a share ``EVEN`` of equal chances, whatever the counts, so that no part's probability is less than
+(EVEN / pieces) ** (PART + 1), which a double holds. It has as many numbers as there are pieces and languages. Workers
+handle each distinct word of a chunk once, all words of a length together. Of languages that tie the first by name is taken.
 
 Learned from: text with a non-null language and a doc_id whose crc32 (as text) mod 5 isn't 0; null ids aren't. Null text
 and text without a letter is ``und`` with score 0, as is all text if nothing could be learned. Repeated rows count as often
@@ -27,14 +30,14 @@ from pandas import factorize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import LOWER, Words, chunks, others, raw, rows
+from textlake.llm._common import LOWER, Words, chunks, in_chunks, others, raw, rows
 
 RESULT = ("held_out", "lang_pred", "score")
-LONGEST_PIECE, PART = 16, 32
+PART = 32
 #: Text handled at once: the more, the fewer words are scored again.
-CHUNK = 4 << 20
-#: Added to each expected count.
-SMOOTHING = 0.05
+CHUNK = 2 << 20
+#: Share of equal chances in the model.
+EVEN = 1e-3
 UNKNOWN = "und"
 ASCII_LETTER = re.compile(b"[A-Za-z]")
 BITS = 18
@@ -47,7 +50,9 @@ class Pieces:
     def __init__(self, path: str):
         with open(path, "rb") as file:
             found = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-        self.pieces = sorted(x for x in {*found, *(bytes([b]) for b in range(256))} if len(x) <= LONGEST_PIECE)
+        self.pieces = sorted(x for x in {*found, *(bytes([b]) for b in range(256))} if len(x) <= PART + 1)
+        self.longest = max(map(len, self.pieces))
+        self.sizes = np.isin(np.arange(self.longest + 1), [len(x) for x in self.pieces])
         keys = np.array([int(self.prefix(np.frombuffer(x, np.uint8)[None])[0, -1]) for x in self.pieces], np.uint64)
         self.tables = []
         left = np.arange(1, len(keys) + 1, dtype=np.int32)
@@ -83,9 +88,11 @@ class Pieces:
     def arcs(self, words: np.ndarray):
         """(start, end, rows, pieces) of the pieces in words of one length, by end, then start."""
         prefix, n = self.prefix(words), words.shape[1]
-        power = _BASE ** np.arange(LONGEST_PIECE + 1, dtype=np.uint64)
+        power = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         for end in range(1, n + 1):
-            for start in range(max(0, end - LONGEST_PIECE), end):
+            for start in range(max(0, end - self.longest), end):
+                if not self.sizes[end - start]:
+                    continue
                 piece = self.find(prefix[:, end] - prefix[:, start] * power[end - start])
                 hit = np.flatnonzero(piece)
                 if len(hit):
@@ -102,20 +109,40 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
+def parts_of(word: bytes) -> list[bytes]:
+    """A long word's parts of at most ``PART`` bytes, which end between characters."""
+    out, begin = [], 0
+    while begin < len(word):
+        end = begin + PART
+        if end < len(word):
+            while end > begin + PART - 4 and word[end] & 0xC0 == 0x80:
+                end -= 1
+        out.append(word[begin:end])
+        begin = end
+    return out
+
+
+#: A byte that no text has at a word's begin, which marks a part that has no leading space.
+INNER = b"\xff"
+
+
 def distinct_words(texts: list[bytes]):
     """Word codes, the texts' bounds among them, and the distinct words as (codes, matrix of bytes) by length."""
     parts = []
     for text in texts:
         text = text.translate(LOWER)
-        parts.append(b" ".join(x if len(x) < PART else b" ".join(x[i : i + PART - 1] for i in range(0, len(x), PART - 1)) for x in text.split()))
+        parts.append(b" ".join(x if len(x) <= PART else (b" " + INNER).join(parts_of(x)) for x in text.split()))
     words = Words(parts)
     codes, _ = factorize(words.hashes)
     first = np.flatnonzero(codes > np.concatenate([[-1], np.maximum.accumulate(codes)[:-1]])) if len(codes) else np.empty(0, np.int64)
+    inner = words.data[words.starts[first]] == INNER[0] if len(first) else np.empty(0, bool)
     groups = []
     for size in np.unique(words.sizes[first]):
-        own = np.flatnonzero(words.sizes[first] == size)
-        matrix = words.data[words.starts[first[own]][:, None] + np.arange(size)]
-        groups.append((own, np.concatenate([np.full((len(own), 1), 32, np.uint8), matrix], axis=1)))
+        for marked in (False, True):
+            own = np.flatnonzero((words.sizes[first] == size) & (inner == marked))
+            if len(own):
+                matrix = words.data[words.starts[first[own]][:, None] + np.arange(size)]
+                groups.append((own, matrix[:, 1:] if marked else np.concatenate([np.full((len(own), 1), 32, np.uint8), matrix], axis=1)))
     return codes, words.bounds, groups
 
 
@@ -180,9 +207,9 @@ def learn(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     names, n = sorted(found["lang"].unique()), len(pieces(path).pieces)
     chance = np.zeros((n + 1, len(names)))
     chance[found["piece"].to_numpy(int), [names.index(x) for x in found["lang"]]] = found["n"].to_numpy(float)
-    chance[1:] += SMOOTHING
+    chance = (1 - EVEN) * chance / chance.sum(axis=0) + EVEN / n
     chance[0] = 0
-    return names, chance / chance.sum(axis=0)
+    return names, chance
 
 
 def _letter(text: bytes) -> bool:
@@ -218,12 +245,11 @@ def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def found(text: pa.Array) -> pa.Array:
-        langs, scores = [], []
-        for part in chunks([pa.RecordBatch.from_arrays([text], ["text"])], limit=CHUNK):
-            x, y = classify(pieces(path), raw(part), *model.value)
-            langs += x
-            scores += y
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        def judged(chunk: pa.RecordBatch) -> pa.Array:
+            langs, scores = classify(pieces(path), raw(chunk), *model.value)
+            return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+        return in_chunks(judged, text, limit=CHUNK)
 
     keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
