@@ -1,31 +1,38 @@
 """License scans: ordered signature rules behind a keyword prefilter; contained detections of lower priority are dropped.
 
 Texts are lower-cased (A-Z) and cut into words of ASCII letters and digits and all other non-ASCII characters; rules are
-regular expressions over the words joined by single spaces. A rule has a keyword that its matches always hold: texts
-without any keyword are only counted, and of the rules only those run whose keyword is there. Detections are ordered by
-priority, then length, then place; one that lies within a kept detection is suppressed, so "gnu general public license"
-says nothing inside "gnu lesser general public license version 3 ...". A text's score joins its kept detections' weights,
+regular expressions over the words joined by single spaces. They are written by hand in :mod:`signatures`, license texts,
+notices and hints, and for names of licenses made from what statements say around a name. A rule's keyword is the longest
+literal run of its expression that no alternative or option can leave out, so each match holds it (or one for each
+alternative): one automaton finds all keywords of a text in a pass, and only the rules run whose keyword is there. Detections are ordered by priority, then
+length, then place; one that lies within a kept detection is suppressed, so "gnu general public license" says nothing
+inside "gnu lesser general public license version 3 ...". A text's score joins its kept detections' weights,
 1 - product(1 - weight).
 
-Base phrases are found in any case: all places where a phrase's words stand consecutively. The table of rules is made
-from names, statements and hand-written signatures below. Null or empty text has no words. Repeated rows are scanned
-alike, an empty table gives an empty result, ids aren't used. Other columns stay; one named like a result column is
-replaced. Matches lie within one text; a rule's gaps are bounded, so very long texts take time in proportion.
+Base phrases are found in any case: all places where a phrase's words stand consecutively. Null or empty text has no
+words. Ties in all of priority, length and place go by the rules' order. Repeated rows are scanned alike, an empty table
+gives an empty result, ids aren't used. Other columns stay; one named like a result column is replaced. Matches lie within
+one text; a rule's gaps are bounded, and detections are kept in a tree of interval ends, so very long texts take time in
+proportion, but for a logarithm, and a few times their size.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import ALNUM, others
+from textlake.llm._common import ALNUM, in_chunks, others, raw
+from textlake.llm.signatures import HINTS, NOTICES, TEXTS
 
-RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: label; names in running text, as regular expressions over words; the identifier's words. Longer names come first.
@@ -95,51 +102,40 @@ STATEMENTS = (
     (r"under the (?:terms of the )?{}", 0.85, 60),
     (r"{}", 0.6, 30),
 )
-#: Written out: label, keyword, expression, weight, priority.
-SIGNATURES = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0.99, 95),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 0.98, 95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.97, 90),
-    ("bsd-3", "endorse", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse", 0.98, 92),
-    ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software must display", 0.98, 93),
-    ("apache-2", "licenses", r"apache org licenses license 2 0", 0.99, 95),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 0.98, 94),
-    ("lgpl-3", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license", 0.98, 94),
-    ("agpl-3", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", 0.98, 94),
-    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license", 0.99, 95),
-    ("boost-1", "boost", r"distributed under the boost software license version 1 0", 0.99, 95),
-    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented", 0.97, 90),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 0.99, 95),
-    ("public-domain", "domain", r"(?:released|dedicated|placed) (?:in|in to|into|to) the public domain", 0.8, 50),
-    ("public-domain", "domain", r"(?:is|are) in the public domain", 0.6, 40),
-    ("proprietary", "reserved", r"all rights reserved", 0.4, 20),
-    ("proprietary", "confidential", r"proprietary and confidential", 0.7, 45),
-    ("warranty", "warranty", r"(?:provided )?as is without warranty of any kind", 0.5, 15),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 0.5, 10),
-    ("cc", "creativecommons", r"creativecommons org licenses(?: \S+){1,5}", 0.9, 55),
-    ("cc0-1", "creativecommons", r"creativecommons org publicdomain zero", 0.98, 92),
-    ("gpl", "gnu", r"gnu org licenses gpl", 0.95, 90),
-    ("lgpl-3", "gnu", r"gnu org licenses lgpl", 0.95, 90),
-    ("agpl-3", "gnu", r"gnu org licenses agpl", 0.95, 90),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
-    """keyword: what any match's line holds."""
+    """keywords: of these any match holds one."""
 
     label: str
-    keyword: bytes
+    keywords: tuple[str, ...]
     found: re.Pattern
     weight: float
     priority: int
 
 
-def _keyword(expression: str) -> bytes:
-    """The longest plain word outside of brackets."""
-    while (inner := re.sub(r"\([^()]*\)[?]?(?:\{[^}]*\})?", "| ", expression)) != expression:
-        expression = inner
-    return max(re.findall(r"(?<![a-z0-9\\\[|])[a-z0-9]+(?![a-z0-9?\]|\[])", expression) or [""], key=len).encode()
+#: What may be absent or differ in a match, innermost brackets first: groups, classes, escapes, and characters that may repeat or miss.
+_UNSURE = re.compile(r"\([^()]*\)(?:[?*+]|\{[0-9,]*\})?|\[[^\]]*\](?:[?*+]|\{[0-9,]*\})?|\\.(?:[?*+]|\{[0-9,]*\})?|.(?:[?*]|\{[0-9,]*\})")
+
+
+#: A group that must be there.
+_GROUP = re.compile(r"\((?:\?:)?([^()]*)\)(?![?*]|\{0)")
+#: Literal runs shorter than this say too little, where a group's alternatives say more.
+TELLING = 6
+
+
+def keywords(expression: str) -> tuple[str, ...]:
+    """Literals of which every match holds one: the longest run that nothing can leave out, or else those of a group's alternatives."""
+    bare = expression
+    while (inner := _UNSURE.sub("|", bare)) != bare:
+        bare = inner
+    best = max((x.strip() for x in bare.split("|")), key=len)
+    if len(best) >= TELLING:
+        return (best,)
+    for group in _GROUP.finditer(expression):
+        own = [keywords(x) for x in group[1].split("|")]
+        if all(x for one in own for x in one) and min(len(x) for one in own for x in one) > len(best):
+            return tuple(sorted({x for one in own for x in one}))
+    return (best,)
 
 
 @cache
@@ -147,73 +143,115 @@ def rules() -> tuple[Rule, ...]:
     """All rules, the highest priority first."""
     out = []
 
-    def add(label: str, keyword: bytes, expression: str, weight: float, priority: int) -> None:
-        keyword = b" %s " % keyword if len(keyword) < 4 else keyword  # short words only as a whole
-        out.append(Rule(label, keyword, re.compile(rf"(?<= ){expression}(?= )".encode()), weight, priority))
+    def add(label: str, weight: float, priority: int, expression: str) -> None:
+        out.append(Rule(label, keywords(expression), re.compile(rf"(?<= ){expression}(?= )".encode()), weight, priority))
 
     for label, name, identifier in FAMILIES:
         for statement, weight, priority in STATEMENTS:
-            add(label, _keyword(name), statement.format(name), weight, priority)
-        add(label, b"spdx", rf"spdx license identifier {identifier}(?: only| or later)?", 0.99, 100)
+            add(label, weight, priority, statement.format(name))
+        add(label, 0.99, 100, rf"spdx license identifier {identifier}(?: only| or later)?")
         if " " in identifier:
-            add(label, b"licen", rf"licen[cs]e (?:is )?{identifier}", 0.9, 75)
-    for label, keyword, expression, weight, priority in SIGNATURES:
-        add(label, keyword.encode(), expression, weight, priority)
+            add(label, 0.9, 75, rf"licen[cs]e (?:is )?{identifier}")
+    for signature in (*TEXTS, *NOTICES, *HINTS):
+        add(*signature)
     for phrase, label in BASE:
-        add(label, max(phrase.split(), key=len).encode(), phrase, 0.85, 62)
+        add(label, 0.85, 62, phrase)
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.found.pattern)))
 
 
-def gates(table: tuple[Rule, ...]) -> list[bytes]:
-    """Keywords of which a text must hold one; those that hold others are left out."""
-    words = sorted({r.keyword for r in table}, key=len)
-    return [w for i, w in enumerate(words) if not any(v in w for v in words[:i])]
+@cache
+def _prefilter() -> ahocorasick.Automaton:
+    """Finds keywords; each holds the numbers of its rules."""
+    by_keyword: dict[str, list[int]] = {}
+    for number, rule in enumerate(rules()):
+        for word in rule.keywords:
+            by_keyword.setdefault(word, []).append(number)
+    made = ahocorasick.Automaton()
+    for word, numbers in by_keyword.items():
+        made.add_word(word, tuple(numbers))
+    made.make_automaton()
+    return made
 
 
-@cache
-def _gate() -> re.Pattern:
-    return re.compile(b"|".join(re.escape(x) for x in gates(rules())))
+class Covered:
+    """Kept detections: whether one lies within another, by the furthest end of all that begin no later (a tree of prefix maxima)."""
 
+    def __init__(self, begins: list[int]):
+        self.begins = sorted({*begins})
+        self.ends = [0] * (len(self.begins) + 1)
 
-def scan(text: bytes) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels and score of a text."""
-    words = text.translate(ALNUM).split()
-    line = b" " + b" ".join(words) + b" "
-    if not _gate().search(line):
-        return len(words), 0, None, None, "", "", 0.0
-    places, base = [], set()
+    def holds(self, begin: int, end: int) -> bool:
+        i = bisect_right(self.begins, begin)
+        while i:
+            if self.ends[i] >= end:
+                return True
+            i &= i - 1
+        return False
+
+    def add(self, begin: int, end: int) -> None:
+        i = bisect_right(self.begins, begin)
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+
+def detections(line: bytes) -> list[tuple[int, int, Rule]]:
+    """The kept detections (begin, end, rule) in a line of words, the highest priority first."""
+    numbers = {n for _, own in _prefilter().iter(line.decode("latin-1")) for n in own}
+    found = [(-rules()[n].priority, x.start() - x.end(), x.start(), n, x.end()) for n in numbers for x in rules()[n].found.finditer(line)]
+    kept, out = Covered([x[2] for x in found]), []
+    for _, _, begin, number, end in sorted(found):
+        if not kept.holds(begin, end):
+            kept.add(begin, end)
+            out.append((begin, end, rules()[number]))
+    return out
+
+
+def base_places(line: bytes) -> list[tuple[int, str]]:
+    """Byte places and labels of the base phrases."""
+    out = []
     for phrase, label in BASE:
         key, at = f" {phrase} ".encode(), -1
         while (at := line.find(key, at + 1)) >= 0:
-            places.append(line.count(b" ", 0, at + 1) - 1)
-            base.add(label)
-    kept: list[tuple[int, int]] = []
-    labels, missed, held = set(base), 1.0, {}
-    found = []
-    for order, rule in enumerate(rules()):
-        if rule.keyword not in held:
-            held[rule.keyword] = rule.keyword in line
-        if held[rule.keyword]:
-            found += [(-rule.priority, x.start() - x.end(), x.start(), order, x.end()) for x in rule.found.finditer(line)]
-    for _, _, begin, order, end in sorted(found):
-        if not any(x <= begin and end <= y for x, y in kept):
-            kept.append((begin, end))
-            labels.add(rules()[order].label)
-            missed *= 1 - rules()[order].weight
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1 - missed
-
-
-STRUCT = "struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double>"
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
+            out.append((at, label))
+    return out
+
+
+def scan(text: bytes) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels and score of a text, and its detections (label, first word, end)."""
+    words = text.translate(ALNUM).split()
+    line = b" " + b" ".join(words) + b" "
+    found = detections(line)
+    if not found:  # a base phrase is a rule of its own
+        return len(words), 0, None, None, "", "", 0.0, []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    number = lambda at: int(np.searchsorted(spaces, at))
+    base = base_places(line)
+    places = [number(at) for at, _ in base]
+    labels, missed = {label for _, label in base}, 1.0
+    own = sorted(labels)
+    for _, _, rule in found:
+        labels.add(rule.label)
+        missed *= 1 - rule.weight
+    spans = [{"label": rule.label, "first_word": number(begin - 1), "end_word": number(end)} for begin, end, rule in found]
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(own), ",".join(sorted(labels)), 1 - missed, spans
+
+
+SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+STRUCT = "struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double,detections:array<struct<label:string,first_word:long,end_word:long>>>"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(SPAN))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """The documents with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+    """The documents with n_words, n_base, first_word, last_word, base_labels, labels, score and the kept detections by priority (words from 0, ends exclusive)."""
+
+    def made(chunk: pa.RecordBatch) -> pa.Array:
+        out = [scan(x) for x in raw(chunk)]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(KINDS)], list(RESULT))
 
     @F.arrow_udf(STRUCT)
     def found(text: pa.Array) -> pa.Array:
-        made = [scan(x or b"") for x in text.cast(pa.binary()).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in made], kind) for i, kind in enumerate(KINDS)], list(RESULT))
+        return in_chunks(made, text)
 
     keep = [F.col(f"`{c}`") for c in others(docs, RESULT)]
     return docs.select(*keep, found("text").alias("_made")).select(*keep, "_made.*")

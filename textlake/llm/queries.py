@@ -19,16 +19,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", *licenses.RESULT)
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("doc_id", *licenses.RESULT[:-1])
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = decontaminate.mark_contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
-    return made.select("doc_id", *decontaminate.RESULT)
+    return made.select("doc_id", *decontaminate.RESULT[:-1])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
