@@ -3,11 +3,15 @@
 The law is ``bytes``: shard sizes are near equal. A group whose size is above a ``fine``-th of a shard's fair share is
 scheduled by itself; there are at most ``fine`` * ``n_shards`` of these, whatever the input. All other groups are first
 put by hash into ``bundles`` bundles, whose sizes are aggregated, so the heap sees a bounded number of items and no
-more than their sizes reaches the driver. Slots are numbered in ``parts`` parts of each shard, after the counts of the
-parts before; no shard's rows meet in one task, and copies are spread over the parts by doc_id.
+more than their sizes reaches the driver. (The plain schedule of all groups would need all sizes in one heap; a bundle is
+about a 200th of a shard's share, so that the loads differ by less than that, but for groups that are larger than a share.)
+Slots are numbered in ``parts`` parts of each shard, after the counts of the parts before; no shard's rows meet in one
+task, as rows are spread over the parts by all their columns.
 
-Null text has no bytes and makes one group with other null and empty texts. Repeated rows each get a slot; a null doc_id
-is kept. An empty table gives an empty result. Other columns stay; one named like a result column is replaced.
+Null text has no bytes and makes one group with other null and empty texts. Repeated rows each get a slot, in any order;
+rows that are equal in all columns meet in one part. Of equal sizes that with the smaller key comes first, of equal loads
+the lower shard. One very long text is a group like any other. A null doc_id is kept. An empty table gives an empty
+result. Other columns stay; one named like a result column is replaced.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ def shard(docs: DataFrame, n_shards: int = 40, fine: int = FINE, bundles: int =
     text = _text()
     keep = others(docs, RESULT)
     own_names = [f"_{i}" for i in range(len(keep))]  # so that no column's name clashes with those in use here
-    sized = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, own_names, strict=True)), F.struct(F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64("doc_id").alias("mix")).alias("_own"))
+    sized = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, own_names, strict=True)), F.struct(F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))).alias("mix")).alias("_own"))
     rows = sized.select("_own.*")
     groups = cut(rows.groupBy("g1", "g2").agg(F.sum("size").alias("size")))
     total = groups.agg(F.sum("size")).first()[0] or 0
