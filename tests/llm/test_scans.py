@@ -40,15 +40,84 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
         assert {x for _, x in places} <= {*r.labels.split(",")}
     assert [r.labels for r in made] == ["apache-2", "cc-by-nc,mit", "lgpl-3", "bsd-3", "mit", "", "", ""]
-    assert len(licenses.rules()) > 300 and all(len(r.keyword) > 3 for r in licenses.rules())
-
-
-def test_license_gate_loses_no_rule():
-    """Each rule's keyword is in whatever the rule finds in a text made of its plain words."""
-    for label, name, identifier in licenses.FAMILIES:
-        text = f"spdx license identifier {identifier}".encode()
-        assert label in licenses.scan(text)[5].split(","), label
-        assert licenses._keyword(name).decode() in name
+    assert len({r.found.pattern for r in licenses.rules()}) > 500
+    assert all(min(map(len, r.keywords)) > 2 for r in licenses.rules())
+
+
+def matches_of(pattern: bytes, draw) -> bytes:
+    """A random text that an expression matches."""
+    from re import _parser as parser
+
+    def made(tree) -> str:
+        out = ""
+        for op, value in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(value)
+            elif op == "IN":
+                out += draw.choice("0123456789" if str(value[0][0]) == "CATEGORY" else "".join(chr(x) for _, x in value))
+            elif op == "CATEGORY" or op == "ANY" or op == "NOT_LITERAL":
+                out += "x"
+            elif op == "BRANCH":
+                out += made(draw.choice(value[1]))
+            elif op == "SUBPATTERN":
+                out += made(value[3])
+            elif op == "MAX_REPEAT":
+                low, high, inner = value
+                out += "".join(made(inner) for _ in range(draw.randint(low, min(high, low + 3))))
+            elif op not in ("ASSERT",):
+                raise ValueError(op)
+        return out
+
+    return made(parser.parse(pattern.decode())).encode()
+
+
+def test_each_rule_is_found_behind_the_gate():
+    """Random matches of each rule hold one of its keywords, and the scan finds the rule or one that covers it."""
+    import random
+
+    draw = random.Random(1)
+    for rule in licenses.rules():
+        for _ in range(4):
+            text = matches_of(rule.found.pattern, draw)
+            line = b" " + b" ".join(text.split()) + b" "
+            assert rule.found.search(line), (rule, text)
+            assert any(k in line.decode() for k in rule.keywords), (rule, text)
+            assert any(r.priority >= rule.priority for _, _, r in licenses.detections(line)), (rule, text)
+
+
+def test_labels_by_brute_force():
+    """All rules run without a gate over random texts of license words; detections within higher ones go, by comparing all."""
+    import random
+
+    draw = random.Random(2)
+    bits = [matches_of(r.found.pattern, draw).decode() for r in licenses.rules()]
+    for _ in range(150):
+        text = " ".join(x for _ in range(draw.randint(1, 6)) for x in (draw.choice(bits), draw.choice(["and", "or", "the", "license", "under", "2 0", "mit", ""])))
+        line = f" {' '.join(text.split())} ".encode()
+        found = sorted(((-r.priority, x.start() - x.end(), x.start(), i, x.end()) for i, r in enumerate(licenses.rules()) for x in r.found.finditer(line)))
+        kept = []
+        for _, _, begin, i, end in found:
+            if not any(x <= begin and end <= y for x, y, _ in kept):
+                kept.append((begin, end, i))
+        got = licenses.scan(text.encode())
+        base = {label for phrase, label in licenses.BASE if f" {phrase} ".encode() in line}
+        assert got[5] == ",".join(sorted(base | {licenses.rules()[i].label for _, _, i in kept}))
+        words = text.split()
+        assert [d["label"] for d in got[7]] == [licenses.rules()[i].label for _, _, i in kept]
+        assert [f" {' '.join(words[d['first_word'] : d['end_word']])} " for d in got[7]] == [line[b - 1 : e + 1].decode() for b, e, _ in kept]
+
+
+def test_license_scan_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (1000, 16_000):
+        text = b"licensed under the apache license version 2 0 and cc by nc under the mit license. " * n
+        began = time.process_time()
+        licenses.scan(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.01)
 
 
 def test_identifiers_in_either_spelling():
@@ -56,8 +125,8 @@ def test_identifiers_in_either_spelling():
     for label, _, identifier in licenses.FAMILIES:
         if " " in identifier:
             for statement in ("license", "licence", "license is", "licence is"):
-                rules = [r for r in licenses.rules() if r.label == label and r.priority == 75 and r.found.search(f" {statement} {identifier} ".encode())]
-                assert rules and all(r.keyword in f" {statement} {identifier} ".encode() for r in rules), (statement, identifier)
+                line = f" {statement} {identifier} ".encode()
+                assert any(r.label == label or r.priority > 75 for _, _, r in licenses.detections(line)), (statement, identifier)
     assert licenses.scan(b"licence: apache 2 0")[5] == "apache-2"
 
 
@@ -86,7 +155,7 @@ def test_packing(docs, empty):
     got, by_sequence = defaultdict(int), defaultdict(list)
     for p in pieces:
         own = ids[p.doc_id, p.doc_tokens][p.start : p.start + p.length]
-        assert len(own) == p.length and zlib.crc32(own.tobytes()) == p.ids_crc32
+        assert len(own) == p.length and zlib.crc32(own.tobytes()) == p.ids_crc32 and own.tolist() == p.ids
         got[p.doc_id, p.doc_tokens] += p.length
         by_sequence[p.sequence_id].append((p.offset, p.length))
     assert got == want
@@ -99,8 +168,16 @@ def test_packing(docs, empty):
         assert at <= 2048
         tokens += at
         padding += 0 if at & (at - 1) == 0 else 2048 - at
-    assert padding < 0.1 * tokens
+    assert padding < 0.1 * tokens  # some of these few sequences are the rest of a share
     assert packing.pack(empty).count() == 0
+    assert packing.pack(docs, with_ids=False).columns == [c for c in pieces[0].__fields__ if c != "ids"]
+
+
+def test_packing_pads_little(spark):
+    """Over a thousand documents in two shares, a two-hundredth of the tokens is padding, or less."""
+    made = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2), with_ids=False)
+    used = [r.n for r in made.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").collect()]
+    assert max(used) <= 2048 and sum(0 if n & (n - 1) == 0 else 2048 - n for n in used) < 0.005 * sum(used)
 
 
 def test_word_ids():
@@ -146,6 +223,8 @@ def test_decontamination(spark, block):
     assert len(made) == len(TEXTS)
     for r in made:
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == expected_hits(r.text), r
+        cut = [(r.text or "").encode()[x.begin : x.end].decode() for x in r.hits]
+        assert sum(len(WORD.findall(low(x))) for x in cut) == r.n_hit and all(WORD.fullmatch(low(x[0])) and WORD.fullmatch(low(x[-1])) for x in cut)
 
 
 def test_decontamination_with_odd_rows(spark, docs, empty):
@@ -180,6 +259,34 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(counts[number[b" a"], 0], v / (v + 1)) and np.isclose(counts[number[b"a"], 0], 1 / (v + 1))
 
 
+def test_long_words_are_cut_between_characters():
+    for word in ("日本語" * 40, "x" * 100, "é" * 33, "a" * 32, "\U0001f600" * 9):
+        parts = langid.parts_of(word.encode())
+        assert b"".join(parts) == word.encode() and all(len(x) <= langid.PART and x.decode() for x in parts)
+    codes, bounds, groups = langid.distinct_words([("ab " + "日本語" * 30).encode()])
+    assert bounds.tolist() == [0, len(codes)] and len(codes) > 5
+    assert sorted({m[0, 0] == 32 for _, m in groups}) == [False, True]
+
+
+def test_no_score_underflows():
+    """Whatever the counts, the least chances of the longest part are above zero, and so are all scores."""
+    vocabulary = langid.pieces(langid.default_vocabulary())
+    n = len(vocabulary.pieces)
+    chance = np.full((n + 1, 2), langid.EVEN / n)
+    chance[0] = 0
+    odd = np.full((1, langid.PART + 1), 0x7F, np.uint8)
+    assert np.isfinite(langid.forward(vocabulary, odd, chance)).all()
+    found, score = langid.classify(vocabulary, [bytes([0x7F]) * 5000 + b" a", "漢字" * 3000 and ("漢字" * 3000).encode()], ["aa", "bb"], chance)
+    assert found == ["aa", "aa"] and all(0 < x <= 1 for x in score)
+
+
+def test_language_id_on_held_out_documents(spark):
+    """Of the documents that nothing was learned from, nearly all have their own language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = langid.identify(docs.select("doc_id", "text", "lang")).where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(made) > 100 and sum(r.lang == r.lang_pred for r in made) >= 0.97 * len(made)
+
+
 def test_language_id(spark, docs, empty):
     words = {"aa": "the of and house water green over under stone", "bb": "der die das und haus wasser grün über unter"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(words[k].split()).tolist()), k) for i in range(60) for k in [sorted(words)[i % 2]]]
@@ -284,7 +391,36 @@ def test_urls(spark):
     assert all(urls.cut_url(u or "") == x[:2] for u, x in zip(URLS, want, strict=True))
 
 
-def test_url_model_on_unseen_words():
+def test_url_grams_by_brute_force():
+    hosts, paths = ["a.example", "", "ünï.example", "ab"], ["/X/1", "", "/", ""]
+    row, place = urls.grams([hosts, paths])
+    for i, parts in enumerate(zip(hosts, paths, strict=True)):
+        want = {(k, f"^{x.lower()}$"[j : j + n]) for k, x in enumerate(parts) if x for n in (3, 4, 5) for j in range(len(x) + 3 - n)}
+        own = place[row == i]
+        assert len({*own}) == len(own) and len(want) - 2 <= len(own) <= len(want)  # two n-grams may share a place
+    assert sorted(urls.grams([hosts[::-1], paths[::-1]])[1].tolist()) == sorted(place.tolist())
+
+
+def test_url_model_on_held_out_words():
+    """Learned from four of five words of each label, judged on URLs made of the others: the threshold blocks few ordinary URLs and finds unwanted ones."""
+    part = lambda words, k: [w for i, w in enumerate(words) if (i % 5 == 0) == k]
+    weights = urls.train(urls.examples(part(urls.UNWANTED, False), part(urls.ORDINARY, False), 2000))
+    held = urls.examples(part(urls.UNWANTED, True), part(urls.ORDINARY, True), 1000, seed=11)
+    value = urls.score([list(x) for x in zip(*(urls.cut_url(u) for u, _ in held), strict=True)], weights)
+    label = np.array([y for _, y in held], bool)
+    order = value.argsort().argsort()
+    area = (order[label].mean() - (label.sum() - 1) / 2) / (~label).sum()
+    assert area > 0.85, area
+    assert (value[~label] >= urls.THRESHOLD).mean() < 0.05 and (value[label] >= urls.THRESHOLD).mean() > 0.25
+    known = urls.examples(seed=12, n=500)
     weights = urls.train(urls.examples())
-    score = lambda u: (lambda g: 1 / (1 + np.exp(-(weights[g].sum() / np.sqrt(len(g)) + weights[-1]))))(urls.grams(*urls.cut_url(u)))
-    assert score("http://bestcasino99.example/buy-poker-cheap.html") > 0.9 > score("http://ththre.example.com/fr/825")
+    value = urls.score([list(x) for x in zip(*(urls.cut_url(u) for u, _ in known), strict=True)], weights)
+    label = np.array([y for _, y in known], bool)
+    assert ((value >= 0.5) == label).mean() > 0.95
+
+
+def test_url_verdicts_of_pages(spark):
+    """No page of the standard table, whose words are invented, is blocked by the model; verdicts are the rules' else."""
+    made = urls.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    free = [r for r in made if r.rule is None]
+    assert len(made) == 250 and free and sum(r.verdict == "block" for r in free) <= 0.02 * len(free)

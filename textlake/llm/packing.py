@@ -7,7 +7,9 @@ ends, the fewer than k pieces that each class still holds (some thousand pieces
 into common sequences, the longest first, each to the first sequence with room.
 
 Null text is empty; it gives a piece that holds the end token only. Repeated rows are packed as often as they occur; a
-null doc_id is kept. An empty table gives no piece. Sequence ids are unique and depend on how the table is partitioned.
+null doc_id is kept. Pieces of equal length are packed in the order in which they come. One very long text takes some fifty
+times its size in one worker. An empty table gives no piece. Sequence ids are unique and depend on how the table is
+partitioned. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm._common import chunks, raw, rows
+from textlake.llm._common import chunks, lists, raw, rows
 
 CAPACITY, END = 2048, 1
 #: Bytes of the longest word, with its space, that is known by a hash.
@@ -31,6 +33,9 @@ LONGEST = 1024
 #: Text handled at once: the more, the fewer words are merged again, but arrays of some 40 bytes a byte are made of it.
 CHUNK = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+IDS = ", ids array<int>"
+#: Pieces, and tokens of pieces with their ids, that are passed on at once.
+MOST_PIECES, MOST_TOKENS = 20_000, 1 << 20
 GAP, LETTER, DIGIT, OTHER = range(4)
 #: What an ASCII byte is to the tokenizer's word pattern; all other bytes of plain texts belong to letters.
 KIND = np.array([GAP if x in b" \t\n\r\x0b\x0c" else LETTER if x >= 128 or chr(x).isalpha() else DIGIT if 48 <= x <= 57 else OTHER for x in range(256)], np.uint8)
@@ -147,8 +152,9 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def _pack(tokenizer: str, capacity: int, end: int):
-    kind = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+def _pack(tokenizer: str, capacity: int, end: int, with_ids: bool):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kind = pa.schema([*((c, pa.int64()) for c in names), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
     cuts = np.zeros(capacity + 1, np.int64)
     for one in lengths(capacity):
         cuts[one:] = np.maximum(cuts[one:], one)
@@ -159,11 +165,22 @@ def _pack(tokenizer: str, capacity: int, end: int):
         sequence = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}
         out: list[tuple] = []
+        tokens = 0
 
         def batch():
-            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
+            nonlocal tokens
+            *columns, ids = zip(*out, strict=True)
+            made = dict(zip(names, (pa.array(x, pa.int64()) for x in columns), strict=True))
+            if with_ids:
+                made["ids"] = lists(np.frombuffer(b"".join(ids), np.int32), [len(x) // 4 for x in ids], pa.int32())
             out.clear()
-            return rows(kind, **dict(zip(kind.names, columns, strict=True)))
+            tokens = 0
+            return rows(kind, **made)
+
+        def add(piece: tuple, sequence: int, offset: int) -> None:
+            nonlocal tokens
+            out.append((*piece[:-1], sequence, offset, piece[-1]))
+            tokens += piece[2]
 
         for part in chunks(batches, limit=CHUNK):
             for doc, own in zip(part.column("doc_id").to_pylist(), ids.of(raw(part)), strict=True):
@@ -172,14 +189,16 @@ def _pack(tokenizer: str, capacity: int, end: int):
                 while at < n:
                     size = cuts[min(capacity, n - at)]
                     wait = held.setdefault(size, [])
-                    wait.append((doc, at, size, zlib.crc32(own[4 * at : 4 * (at + size)]), n))
+                    piece = own[4 * at : 4 * (at + size)]
+                    wait.append((doc, at, size, zlib.crc32(piece), n, piece if with_ids else b""))
                     at += size
                     if len(wait) == capacity // size:
-                        out += [(*x, sequence, i * size) for i, x in enumerate(wait)]
+                        for i, x in enumerate(wait):
+                            add(x, sequence, i * size)
                         wait.clear()
                         sequence += 1
-                if len(out) >= 20_000:
-                    yield batch()
+                        if len(out) >= MOST_PIECES or with_ids and tokens >= MOST_TOKENS:
+                            yield batch()
         room: list[list[int]] = []  # sequence, tokens so far
         for size in sorted(held, reverse=True):
             first = 0
@@ -189,18 +208,20 @@ def _pack(tokenizer: str, capacity: int, end: int):
                 if first == len(room):
                     room.append([sequence, 0])
                     sequence += 1
-                out.append((*x, *room[first]))
+                add(x, *room[first])
                 room[first][1] += size
+                if with_ids and tokens >= MOST_TOKENS:
+                    yield batch()
         if out:
             yield batch()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row for each piece: its document, place, length, checksum of its ids, and its sequence and offset there."""
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
+    """One row for each piece: its document, place, length, checksum of its ids, and its sequence and offset there; and its ids if wanted."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, capacity, end), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(tokenizer, capacity, end, with_ids), SCHEMA + IDS * with_ids)
