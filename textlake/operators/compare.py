@@ -43,7 +43,7 @@ def compare(pairs: DataFrame) -> DataFrame:
     """improvements and degradations (maps), overall_improvement, success and a summary of each pair."""
     rows = pairs.withColumn("better", changes(True)).withColumn("worse", changes(False))
     gain = F.col("after.human_score") - F.col("before.human_score")
-    shown = F.format_string("%.1f", gain)
+    shown = F.format_string("%.1f", F.round(gain, 1))  # rounded first: it has no negative zero
     opening = F.when(gain > LEAST_GAIN, F.concat(F.lit("✅ Humanization successful! Overall human score improved by "), shown, F.lit(" points.")))
     opening = opening.otherwise(F.concat(F.lit("⚠️ Humanization had limited impact. Overall change: "), shown, F.lit(" points.")))
     moved = F.col("before.likely_source") != F.col("after.likely_source")
