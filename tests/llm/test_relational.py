@@ -212,6 +212,46 @@ def test_near_passages_are_found(spark):
     assert pairs <= {(k, k + 1) for k in alike} and len(pairs) >= 0.9 * len(alike)
 
 
+def test_near_passages_between_decoys(spark):
+    """Near passages are found though the documents first and before in each list have the shingles, but not the passage."""
+    import random
+
+    draw = random.Random(5)
+    words = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    items, pairs = [], set()
+    for k in range(0, 400, 8):
+        passage = words(200)
+        edited = list(passage)
+        for place in range(24, 200, 48):
+            edited[place] = f"new{k}x{place}"
+        for i in range(k, k + 8):
+            pieces = [x for begin in range(i % 4, 200, 20) for x in passage[begin : begin + 20] + words(20)]
+            items.append((i, " ".join({k + 3: passage, k + 6: edited}.get(i, pieces))))
+        pairs.add((k + 6, k + 3))
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").coalesce(1)).collect()
+    assert len(pairs & {(r.doc_id, r.other_doc_id) for r in found}) >= 0.95 * len(pairs)
+
+
+def test_classes_of_a_key_meet():
+    """All rows of a key that are of different documents and classes meet, once each; compound windows as by brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    key, node, doc = draw.integers(0, 5, 300), draw.integers(0, 4, 300), draw.integers(0, 40, 300)
+    batch = pa.table({"key": key, "node": node, "a": doc, "a_span": np.arange(300)}).to_batches()
+    got = [tuple(sorted(x)) for b in passages._met(batch) for x in zip(b["a_span"].to_pylist(), b["b_span"].to_pylist(), strict=True)]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if key[i] == key[j] and node[i] != node[j] and doc[i] != doc[j]}
+    assert set(got) == want and len(got) == len(want)
+    bounds = np.array([0, 120, 300])
+    for hashes in (draw.integers(1, 2**63, (2, 300), np.uint64), draw.integers(1, 9, (2, 300)).astype(np.uint64)):
+        one, two = (passages.compact_windows(h, bounds, 10) for h in hashes)
+        own = [list(zip(*x, strict=True)) for x in (one, two)]
+        want = {(i, j) for i, (a, b, c) in enumerate(own[0]) for j, (x, y, z) in enumerate(own[1]) if max(a, x) <= min(b, y) and max(b, y) <= min(c, z) and min(c, z) - max(a, x) >= 9}
+        made = list(zip(*(x.tolist() for x in passages.compounds(one, two, 10)), strict=True))
+        assert set(made) == want and len(made) == len(want)
+
+
 def test_pairs_beside_a_hub(spark):
     """However many pairs a key has, each meets its row once."""
     from textlake.llm._common import beside
