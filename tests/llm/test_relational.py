@@ -252,6 +252,31 @@ def test_classes_of_a_key_meet():
         assert set(made) == want and len(made) == len(want)
 
 
+def test_rounds_leave_no_shuffle_files(spark):
+    """Components of a long chain: the shuffle files of finished rounds are gone when it ends."""
+    import gc
+    import time
+
+    from textlake.llm._common import components
+
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        every = disk.getAllFiles()
+        names = [every.apply(i).getName() for i in range(every.size())]
+        return {x.split("_")[1] for x in names if x.startswith("shuffle_")}
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = held()
+    made = components(chain)
+    time.sleep(2)
+    assert len(held() - before) <= 12
+    assert made.count() == 301
+
+
 def test_pairs_beside_a_hub(spark):
     """However many pairs a key has, each meets its row once."""
     from textlake.llm._common import beside

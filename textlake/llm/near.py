@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm._common import LOWER, Words, beside, chunks, components, cut, likely, lists, mixed, others, raw, rows
+from textlake.llm._common import LOWER, Words, beside, chunks, components, cut, likely, lists, mixed, others, raw, release, rows
 
 K, LISTED = 32, 32
 #: Documents of a long list that meet its pivot, or its other documents, in one part.
@@ -144,6 +144,7 @@ def _rest(hot: DataFrame, full: DataFrame, joined: DataFrame, percent: int) -> D
     parts = F.ceil(F.col("f") / PART)  # a list's documents by parts
     most = prefix.groupBy("s", "f", "component").agg(F.count("*").alias("m")).groupBy("s", "f").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all"))
     most = most.where("all > most.m").select("s", F.col("most.component").alias("largest"), F.ceil((F.col("all") - F.col("most.m")) / PART).alias("few_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    release(hot.sparkSession)
     several = prefix.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(most, ["s", "part"])
     side = lambda df, x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}"), F.col("component").alias(f"c{x}"), *(F.col(b).alias(f"{b}{x}") for b in BITS)]
     few = several.where("component <> largest").select("s", F.pmod(F.xxhash64(F.lit(1), "id"), "few_parts").alias("i"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *side(several, "a"))
@@ -162,6 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     own = cut(signed.join(classes.withColumnRenamed("id", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id", "sketch"]))
 
+    release(docs.sparkSession)
     held = own.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
     often = held.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     shared = cut(held.join(often, "v"))
@@ -185,15 +187,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, k: int =
     pairs = pairs.join(sketches.select(F.col("id").alias("cold"), F.col("sketch").alias("sb")), "cold")
     pairs = cut(pairs.withColumn("u", union).where(near).select("hot", "cold").distinct())
 
+    release(docs.sparkSession)
     dense = cut(score.where(100 * F.col("long") >= agreed * F.col("size")).select("id"))
     ids = pairs.select(F.col("hot").alias("doc_id")).union(pairs.select("cold")).union(dense).distinct()
     full = cut(likely(texts, cut(ids), _full(width), FULL).distinct())
+    release(docs.sparkSession)
     links = cut(_links(pairs, full, percent))
     joined = components(links)
     if not dense.isEmpty():
         more = _links(_rest(dense, full, joined, percent), full, percent)
         joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
+    release(docs.sparkSession)
     of_class = classes.join(joined, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     found = signed.where("doc_id is not null").select("doc_id", "digest", "n").distinct().join(of_class, "digest", "left")
     found = found.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("component", "doc_id")).alias("component_id"))
