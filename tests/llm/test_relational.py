@@ -419,3 +419,57 @@ def test_schedule_by_brute_force():
 
 def test_digest_of_kept_lines():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_words_in_a_row_are_one_window():
+    """A word that is repeated in a row has a window for each key, not for each place; places far apart keep theirs."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    every = SimpleNamespace(value=np.full(1 << 10, -1, np.int64))
+    apart = " ".join(f"v{i}" for i in range(300))
+    line = " ".join(f"l{i}" for i in range(50))
+    texts = [" ".join(["thor"] * 400 + ["handti"] * 400), f"{line} {apart} {line}"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": texts})
+    made = [x for b in passages._gather(50, 5, every)([batch]) for x in b.to_pylist() if x["b"] is None]
+    runs = [x["key"] for x in made if x["a"] == 1]
+    assert runs and len(runs) == len(set(runs)) and len(runs) < 100
+    keys = [x["key"] for x in made if x["a"] == 2]
+    assert len(keys) > len(set(keys))
+
+
+def test_copies_pair_with_the_first(spark):
+    """Copies in any chunk have one row each, with the smallest id; a document of two rows keeps what its other row has."""
+    import random
+
+    draw = random.Random(4)
+    words = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    text, other = words(80), words(70)
+    items = [(i, text if i % 2 else text.upper().replace(" ", "\n")) for i in range(60)]
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in found) == [(i, 0, 80, 0, 0, 80, 1.0) for i in range(1, 60)]
+    items = [(0, text), (1, text), (7, text), (7, other), (9, other), (10, words(49)), (11, None), (None, text)]
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").repartition(4)).collect()
+    assert {(1, 0), (9, 7)} <= {(r.doc_id, r.other_doc_id) for r in found} and {7} & {r.doc_id for r in found}
+
+
+def test_pairs_that_cannot_be_dense_are_not_verified():
+    """The test of all pairs at once lets through whatever has a passage."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(9)
+    one, two = [], []
+    for k in range(300):
+        a = draw.integers(-(2**31), 2**31, draw.integers(0, 120)).astype(np.int32)
+        b = a.copy()
+        b[draw.random(len(b)) < k / 600] = 5
+        one.append(a)
+        two.append(np.concatenate([draw.integers(-(2**31), 2**31, draw.integers(0, 50)).astype(np.int32), b]))
+    a, b = (pa.array([x.tolist() for x in z], pa.list_(pa.int32())) for z in (one, two))
+    able = passages._alike(a, b, 46)
+    want = [passages.verify(x, y, 46) for x, y in zip(one, two, strict=True)]
+    assert all(able[k] for k, x in enumerate(want) if x) and 0 < able.sum() < 300
+    assert [[tuple(y.values()) for y in x] for x in passages._verified(a, b).to_pylist()] == want
