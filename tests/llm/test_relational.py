@@ -473,3 +473,12 @@ def test_pairs_that_cannot_be_dense_are_not_verified():
     want = [passages.verify(x, y, 46) for x, y in zip(one, two, strict=True)]
     assert all(able[k] for k, x in enumerate(want) if x) and 0 < able.sum() < 300
     assert [[tuple(y.values()) for y in x] for x in passages._verified(a, b).to_pylist()] == want
+
+
+def test_copies_without_a_broadcast(spark, monkeypatch):
+    """Where copies are too many to broadcast their ids, a join drops them, with the same result."""
+    monkeypatch.setattr(passages, "MOST_IDS", 0)
+    text = " ".join(f"w{i}" for i in range(80))
+    items = [(i, text) for i in range(8)] + [(8, " ".join(f"w{i}" for i in range(20, 75)))]
+    found = passages.repeated_passages(spark.createDataFrame(items, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in found) == [(i, 0, 80, 0, 0, 80, 1.0) for i in range(1, 8)] + [(8, 0, 55, 0, 20, 75, 1.0)]
